@@ -185,18 +185,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return lists.mapInArrow(each, "i long, v int, keep binary")
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The named columns of docs, and `_keep`: null for documents that lose nothing."""
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, columns: list[str], keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The named columns of docs, and `keep`: null for documents that lose nothing."""
+    i, v = shared.fresh([*columns, keep], "i", "v")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    left = docs.select(*[F.col(f"`{c}`") for c in columns], shared.id_or_lowest(id_col).alias("_i"), F.hash(text).alias("_v"))
-    right = bitmaps.select(F.col("i").alias("_i"), F.col("v").alias("_v"), F.col("keep").alias("_keep"))
-    return left.join(right, ["_i", "_v"], "left").drop("_i", "_v")
+    left = docs.select(*[F.col(f"`{c}`") for c in columns], shared.id_or_lowest(id_col).alias(i), F.hash(text).alias(v))
+    right = bitmaps.select(F.col("i").alias(i), F.col("v").alias(v), F.col("keep").alias(keep))
+    return left.join(right, [i, v], "left").drop(i, v)
 
 
 def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `text_col` less its dropped lines, and n_lines, n_dropped (long) after its own columns."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs, id_col, text_col), own, id_col, text_col)
+    (keep,) = shared.fresh(own, "keep")
+    joined = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs, id_col, text_col), own, keep, id_col, text_col)
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = StructType([*(docs.schema[c] for c in own), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
@@ -204,7 +206,7 @@ def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in shared.slices(batches, text_col):
             texts, lines, gone = [], [], []
-            for text, bitmap in zip(part.column(text_col).to_pylist(), part.column("_keep").to_pylist(), strict=True):
+            for text, bitmap in zip(part.column(text_col).to_pylist(), part.column(keep).to_pylist(), strict=True):
                 split = (text or "").split("\n")
                 lines.append(len(split))
                 if bitmap:

@@ -84,3 +84,14 @@ def text_bytes(column: pa.Array):
     offsets = np.frombuffer(offsets, kind, len(column) + 1, column.offset * step).astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until none clashes with those taken."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
