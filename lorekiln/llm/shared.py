@@ -29,10 +29,15 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/lorekiln/{tag}-{uuid.uuid4().hex}"
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """df in a few partitions a core at most, so that what is written isn't many small files."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: later steps read it back, so a lost executor costs one scan."""
     path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
+    compact(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
