@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekiln.llm import line_dedup, near_dedup, quality, shared
+from lorekiln.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, shared, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,23 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.compact(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mix.select(F.col("i").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared.compact(url_filter.judged(_table(spark, sf_dir, "pages")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared.compact(packing.packed(_table(spark, sf_dir, "documents")))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.compact(near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2))
 
@@ -33,8 +50,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_licenses": op4_licenses,
+    "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op9_near_dedup": op9_near_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -57,6 +78,33 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+OP3_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents
+), by_source AS (
+  SELECT source, sum(size)::BIGINT AS words, 2.0::DOUBLE * sum(size) AS cap,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w
+  FROM sized GROUP BY source
+), filled AS (
+  SELECT *, 1.5::DOUBLE * sum(words) OVER () AS b, coalesce(sum(cap) OVER p, 0) AS c, sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS r
+  FROM by_source WINDOW p AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), judged AS (SELECT *, w * (b - c) / r >= cap AS is_full FROM filled
+), targets AS (
+  SELECT source, words, CASE WHEN is_full THEN cap ELSE
+    w * (b - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) / sum(w) FILTER (NOT is_full) OVER () END AS target FROM judged
+), needs AS (
+  SELECT *, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END AS repeats FROM targets
+), run AS (
+  SELECT s.*, words, target, repeats, target - repeats * words AS need,
+         sum(size) OVER (PARTITION BY s.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY s.source, h) AS own
+  FROM sized s JOIN needs n ON s.source IS NOT DISTINCT FROM n.source
+)
+SELECT doc_id, size, words AS source_size, target,
+       (size * (repeats + CASE WHEN upto <= need OR (upto - own <= need AND need - (upto - own) >= own / 2) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM run
+"""
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 OP9_SQL = f"""
@@ -80,4 +128,4 @@ SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c, s.doc_id) AS component_id,
 FROM sets s LEFT JOIN comp USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op9_near_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op9_near_dedup": OP9_SQL}
