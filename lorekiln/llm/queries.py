@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekiln.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, shared, url_filter
+from lorekiln.llm import licenses, line_dedup, mixing, near_dedup, ogg, packing, quality, shared, token_files, url_filter, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +25,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select(F.col("i").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.demuxed(ogg.with_media(_table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
 
@@ -35,6 +37,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.compact(url_filter.judged(_table(spark, sf_dir, "pages")))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    parts = token_files.write(_table(spark, sf_dir, "documents"), tokenizer, shared.shared_dir(spark, "tokens"))
+    return token_files.read(spark, parts, tokens=False)
+
+
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = warc_zip.write(_table(spark, sf_dir, "pages"), shared.shared_dir(spark, "warc"))
+    return warc_zip.read(spark, paths, payload=False)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.compact(packing.packed(_table(spark, sf_dir, "documents")))
 
@@ -50,10 +66,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ogg": op2_ogg,
     "op3_mixing": op3_mixing,
     "op4_licenses": op4_licenses,
+    "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_warc_zip": op8_warc_zip,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
