@@ -1 +1 @@
-
+"""Structured Streaming forms of sync, first write wins and throttling."""
