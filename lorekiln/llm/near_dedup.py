@@ -8,11 +8,11 @@ leaving out one of its values, and every pair within RADIUS shares a key. (A pai
 whose signatures differ in more values, still has a chunk with at most one difference but for a
 probability of 1.4e-5, and the fewer differences the less.)
 
-Pairs within a key aren't written out. First each key links its members to one hub, the member
-with the most key fellows over all keys; links are confirmed on the full sets, and components are
+Pairs within a key aren't written out. First each key links its members to one hub; links are confirmed on the full sets, and components are
 taken. Then only keys whose members are still in different components are looked at again, in
-blocks of BLOCK members against each other, comparing signatures; pairs of different components with
-at most REACH differing values are confirmed on the full sets in turn. No key, group or candidate list has a cap.
+blocks of BLOCK_BYTES against each other, comparing sets whose hashes are cut to 16 bits. These can only have more in common than
+the sets, so no link is lost there; what they let through is confirmed on the full sets. No key, group or
+candidate list has a cap.
 
 Defined cases: no words or null text: an empty set, which links with nothing (component: itself);
 fewer words than a shingle takes: the whole sequence is the one shingle; a null id can't be
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.llm import shared, textnp
@@ -35,9 +35,12 @@ from lorekiln.llm.components import components
 CHUNKS, WIDTH = 13, 7
 VALUES = CHUNKS * WIDTH
 RADIUS = 2 * CHUNKS - 1
-#: Differing values up to which a pair that shares a key is confirmed; similarity 0.8 gives 18.2 with a deviation of 3.8.
+#: Differing values up to which a hub's pair is confirmed at once; similarity 0.8 gives 18.2 with a deviation of 3.8, and others are met again.
 REACH = 42
-BLOCK = 1024
+#: Bytes of the members of a key, past which they meet in blocks; a set of up to BRIEF_16 items is told by 16 bits an item.
+BLOCK_BYTES, BRIEF_16 = 8 << 20, 2048
+#: First members of a key, in an order common to all keys, of which one is its hub.
+HUBS = 8
 
 _rng = np.random.Generator(np.random.PCG64(977))
 _A = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,12 +140,15 @@ def _shared_keys(classes: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: each key's hub with its other members."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    score = rows.join(sizes, "key").groupBy("node").agg(F.sum(F.col("c") - 1).alias("score"))
-    scored = rows.join(score, "node")
-    hubs = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("low"))).alias("top"), F.count("*").alias("c")).where("c > 1")
-    hubs = hubs.select("key", (-F.col("top.low")).alias("hub"))
+    """a, b: each key's hub with its other members.
+
+    All keys rank their members alike, by a hash, and take one of the first HUBS by the key's own hash. So
+    a group that shares many keys meets a few hubs, again and again, and each member meets several.
+    """
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+    first = rows.withColumn("rank", rank).where(F.col("rank") <= HUBS)
+    sizes = first.groupBy("key").agg(F.max("rank").alias("c")).where("c > 1")
+    hubs = first.join(sizes, "key").where(F.col("rank") == F.pmod(F.xxhash64("key"), F.col("c")) + 1).select("key", F.col("node").alias("hub"))
     pairs = rows.join(hubs, "key").where(F.col("node") != F.col("hub"))
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
@@ -197,53 +203,84 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return _with(pairs, sets, "items").select("a", "b", "va", "vb").mapInArrow(each, "a long, b long").distinct()
 
 
-def _cross_pairs(rows: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: all pairs of a key with near signatures whose ends are in different components so far."""
+def _brief(sets: DataFrame) -> DataFrame:
+    """node, size, brief: each set's hashes cut to 16 bits (32 from BRIEF_16 items on). What two share of these is at least what the sets share."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("items")]
+            brief = [x.astype(np.uint16 if len(x) <= BRIEF_16 else np.uint32).tobytes() for x in items]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(x) for x in items], pa.int64()), pa.array(brief, pa.binary())], ["node", "size", "brief"])
+
+    return sets.mapInArrow(each, "node long, size long, brief binary")
+
+
+def _meetings(size: np.ndarray, brief: list[np.ndarray], x: int, others: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """At least what set x has in common with each of the others. mark: 65536 times False, and so again."""
+    if size[x] > BRIEF_16 or (size[others] > BRIEF_16).any():
+        own = np.unique(brief[x].astype(np.uint16))
+        return np.array([np.isin(brief[o].astype(np.uint16), own).sum() if min(size[o], size[x]) <= BRIEF_16 else np.isin(brief[o], brief[x]).sum() for o in others])
+    mark[brief[x]] = True
+    hits = mark[np.concatenate([brief[o] for o in others])]
+    mark[brief[x]] = False
+    return np.add.reduceat(hits, np.concatenate([[0], np.cumsum(size[others])[:-1]]), dtype=np.int64)
+
+
+def _cross_pairs(rows: DataFrame, comps: DataFrame, briefs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """a, b: the pairs of a key whose ends are in different components so far and may be similar, by their brief sets."""
+    num, den = similarity
     rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    n = F.ceil(F.col("c") / BLOCK).cast("int")
+    sizes = rows.join(briefs.select("node", "size"), "node").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.col("size") * 2 + 64).alias("bytes")).where("x < y")
+    n = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
     rows = rows.join(sizes.select("key", n.alias("n")), "key")
     own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     rows = rows.select("key", "node", "comp", own.alias("own"), other.alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp")
-    rows = rows.join(classes.select("node", "sig"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    rows = rows.join(briefs, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
-    def compare(node, comp, own, sig, lo, hi) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of one block, or between two."""
+    def compare(node, comp, own, size, brief, lo, hi, mark) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Pairs of one block, or between two. The component with most members is only met, never led: its members don't meet each other."""
         left, right = [], []
-        for x in np.flatnonzero(own == lo):
-            against = np.arange(x + 1, len(node)) if lo == hi else np.flatnonzero(own == hi)
-            against = against[comp[against] != comp[x]]
-            if len(against):
-                against = against[(sig[against] != sig[x]).sum(axis=1) <= REACH]
-                left.append(np.full(len(against), node[x]))
-                right.append(node[against])
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(left or none), np.concatenate(right or none)
+        kinds, counts = np.unique(comp, return_counts=True)
+        bulk = comp == kinds[counts.argmax()]
+        at = np.arange(len(node))
+        for x in np.flatnonzero(~bulk):
+            good = (comp != comp[x]) & (bulk | (at > x)) & (den * np.minimum(size, size[x]) >= num * np.maximum(size, size[x]))
+            if lo != hi:
+                good &= own != own[x]
+            others = np.flatnonzero(good)
+            if len(others):
+                both = _meetings(size, brief, x, others, mark)
+                others = others[den * both >= num * (size[x] + size[others] - both)]
+                left.append(np.full(len(others), node[x]))
+                right.append(node[others])
+        return left, right
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        mark, rest = np.zeros(1 << 16, bool), None
         for b in _and_end(batches):
             table = b if rest is None else rest if b is None else pa.concat_batches([rest, b])
             if table is None or not table.num_rows:
                 continue
-            key, lo, hi, own, node, comp = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi", "own", "node", "comp"))
+            key, lo, hi, own, node, comp, size = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi", "own", "node", "comp", "size"))
             change = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             bounds = np.concatenate([[0], change, [len(key)]])
             whole = len(bounds) - 1 if b is None else len(bounds) - 2  # the last group may go on
             rest = table.slice(int(bounds[whole])) if b is not None else None
             stop = int(bounds[whole])
-            if not stop:
-                continue
-            sig = np.frombuffer(b"".join(table.column("sig").slice(0, stop).to_pylist()), np.uint16).reshape(-1, VALUES)
-            found = [compare(node[x:y], comp[x:y], own[x:y], sig[x:y], lo[x], hi[x]) for x, y in zip(bounds[:whole], bounds[1 : whole + 1], strict=True)]
-            a, c = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-            if len(a):
+            brief = [np.frombuffer(v.as_buffer(), np.uint16 if k <= BRIEF_16 else np.uint32) for v, k in zip(table.column("brief").slice(0, stop), size, strict=False)]
+            left, right = [], []
+            for x, y in zip(bounds[:whole], bounds[1 : whole + 1], strict=True):
+                some = compare(node[x:y], comp[x:y], own[x:y], size[x:y], brief[x:y], lo[x], hi[x], mark)
+                left += some[0]
+                right += some[1]
+            if left:
+                a, c = np.concatenate(left), np.concatenate(right)
                 pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    columns = rows.select("key", "lo", "hi", "own", "node", "comp", "sig")
+    columns = rows.select("key", "lo", "hi", "own", "node", "comp", "size", "brief")
     return columns.mapInArrow(each, "a long, b long").distinct()
 
 
@@ -263,7 +300,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     sets = full_sets(docs, rows, shingle, id_col, text_col)
     first = shared.cut(_near_signatures(_hub_pairs(rows), classes), "hub-pairs")
     links = shared.cut(confirmed(first, sets, similarity), "links")
-    second = _cross_pairs(rows, components(links), classes).join(first, ["a", "b"], "left_anti")
+    second = _cross_pairs(rows, components(links), shared.cut(_brief(sets), "brief-sets"), similarity).join(first, ["a", "b"], "left_anti")
     more = shared.cut(confirmed(shared.cut(second, "cross-pairs"), sets, similarity), "links")
     comps = components(links.unionByName(more))
     of_class = classes.select("h1", "h2", "node").join(comps, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("comp"))

@@ -47,6 +47,61 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+#: The pieces that a byte-level pre-tokenizer makes, each of which is merged by itself.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts with other characters go to the library whole: of these the classes are the same in every Unicode version.
+UNUSUAL = r"[^\t\n\r\x20-\x7E\xA1-\u02FF\u2010-\u2027\u20AC]"
+#: Pieces that a worker keeps; past that it forgets all and begins anew, which changes no result.
+MEMO_PIECES = 500_000
+
+
+class Encoder:
+    """Encodes texts. A piece that a worker has met isn't encoded again, if the tokenizer is of the kind that merges pieces by themselves."""
+
+    def __init__(self, path: str, end_id: int | None):
+        import json
+
+        import regex
+
+        self.made = tokenizer(path)
+        top = max(self.made.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
+        self.width = 2 if top < 1 << 16 else 4
+        form = json.loads(self.made.to_str())
+        cut, model = form.get("pre_tokenizer") or {}, form["model"]
+        plain = not form.get("normalizer") and not form.get("truncation") and not form.get("padding") and not model.get("dropout") and all(x["special"] for x in form.get("added_tokens", []))
+        self.by_pieces = plain and model["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.split, self.unusual = regex.compile(PIECES).findall, regex.compile(UNUSUAL).search
+        self.memo: dict[str, bytes] = {}
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as they are stored."""
+        if not self.by_pieces:
+            return self._raw(texts)
+        out = [None if self.unusual(t) else self.split(t) for t in texts]
+        if len(self.memo) > MEMO_PIECES:
+            self.memo.clear()
+        new = list({p for pieces in out if pieces for p in pieces if p not in self.memo})
+        self.memo.update(zip(new, self._raw(new), strict=True))
+        whole = [k for k, pieces in enumerate(out) if pieces is None]
+        known = self.memo
+        out = [pieces if pieces is None else b"".join([known[p] for p in pieces]) for pieces in out]
+        for k, raw in zip(whole, self._raw([texts[k] for k in whole]), strict=True):
+            out[k] = raw
+        return out
+
+
+_encoders: dict[tuple[str, int | None], Encoder] = {}
+
+
+def encoder(path: str, end_id: int | None) -> Encoder:
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
+
 class PartWriter:
     def __init__(self, folder: str, width: int):
         self.stem, self.width = f"{folder}/{uuid.uuid4().hex}", width
@@ -54,8 +109,8 @@ class PartWriter:
         self.ids: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
 
-    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> None:
-        self.file.write(tokens.astype(f"<u{self.width}").tobytes())
+    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, raw: bytes) -> None:
+        self.file.write(raw)
         self.ids.append(doc_ids.astype("<i8"))
         self.lengths.append(lengths.astype(np.uint64))
 
@@ -95,15 +150,13 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int | None
     rows = rows.repartitionByRange("i", "k").sortWithinPartitions("i", "k")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, out, first = tokenizer(tokenizer_path), None, None
-        width = 2 if max(made.get_vocab_size(with_added_tokens=True) - 1, end_id or 0) < 1 << 16 else 4
+        made, out, first = encoder(tokenizer_path, end_id), None, None
+        end = np.full(1 if end_id is not None else 0, end_id or 0, f"<u{made.width}").tobytes()
         for part in shared.slices(batches, "t"):
             if out is None:
-                out, first = PartWriter(folder, width), (part.column("i")[0].as_py(), part.column("k")[0].as_py())
-            ids = [np.array(e.ids, np.uint32) for e in made.encode_batch_fast(part.column("t").to_pylist(), add_special_tokens=False)]
-            end = np.full(1 if end_id is not None else 0, end_id or 0, np.uint32)
-            lengths = np.array([len(x) + len(end) for x in ids])
-            out.add(part.column("i").to_numpy(), lengths, np.concatenate([y for x in ids for y in (x, end)]))
+                out, first = PartWriter(folder, made.width), (part.column("i")[0].as_py(), part.column("k")[0].as_py())
+            docs = [raw + end for raw in made.encode(part.column("t").to_pylist())]
+            out.add(part.column("i").to_numpy(), np.array([len(x) // made.width for x in docs]), b"".join(docs))
         if out is not None:
             n_docs, n_tokens = out.close()
             yield pa.RecordBatch.from_pydict({"i": [first[0]], "k": [first[1]], "stem": [out.stem], "docs": [n_docs], "tokens": [n_tokens]})

@@ -80,7 +80,8 @@ def test_every_pair_within_the_radius_shares_a_key():
 
 
 def test_blocks_of_one_key_meet_each_other(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(near_dedup, "HUBS", 1)
     base = " ".join(f"w{k}" for k in range(60))
     rows = [(i, base + "".join(f" x{i}y{j}" for j in range(3 + i % 5))) for i in range(20)]
     assert got(spark, wide(rows), 2) == brute(rows, 2)
@@ -91,3 +92,18 @@ def test_components_of_paths_stars_and_loops(spark):
     out = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(41)}, 100: 100, **{k: 100 for k in range(200, 230)}, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_brief_sets_never_have_less_in_common():
+    rnd = np.random.default_rng(2)
+    pool = rnd.integers(0, 2**63, 6000, dtype=np.uint64)
+    sets = [np.unique(rnd.choice(pool, n, replace=False)) for n in (5, 900, 2048, 2049, 2400, 2500, 3000)]
+    brief = [x.astype(np.uint16 if len(x) <= near_dedup.BRIEF_16 else np.uint32) for x in sets]
+    size, mark = np.array([len(x) for x in sets]), np.zeros(1 << 16, bool)
+    for x in range(len(sets)):
+        others = np.array([o for o in range(len(sets)) if o != x])
+        for some in (others, others[size[others] <= near_dedup.BRIEF_16]):
+            if len(some):
+                got = near_dedup._meetings(size, brief, x, some, mark)
+                assert (got >= [len(np.intersect1d(sets[x], sets[o])) for o in some]).all()
+                assert not mark.any()
