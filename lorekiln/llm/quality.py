@@ -4,7 +4,9 @@ Two multinomials over BUCKETS hashed word 1- and 2-grams are estimated: *raw* fr
 corpus, *target* from the trusted labelled rows (quality 1, not toxic; at most TRUSTED_ROWS of them,
 those of the smallest id hash, so the set that travels to the executors is bounded). A document's score is
 the mean over its n-grams of log p_target - log p_raw; it is kept if no surface rule fails and the
-score reaches THRESHOLD. Nothing is drawn at random: equal input, equal verdict.
+score reaches THRESHOLD. Both models are taken at the target's size and smoothed by the same number of counts
+a bucket, so a bucket of which the target would hold few n-grams says little: clean documents outside
+the trusted set don't suffer from their rare words, however small that set is. Nothing is drawn at random: equal input, equal verdict.
 
 Both passes are one scan each; the histograms are added up by bucket, so what is gathered is
 BUCKETS rows at any input size.
@@ -29,7 +31,8 @@ BUCKETS = 1 << 14
 TRUSTED_ROWS = 20_000
 #: Mean log-likelihood ratio in nats for an n-gram.
 THRESHOLD = -0.12
-SMOOTHING = 0.5
+#: Counts added to each bucket of both models.
+SMOOTHING = 8.0
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 _SYMBOL = np.zeros(256, bool)
@@ -85,10 +88,8 @@ def log_ratios(counts: DataFrame, n_buckets: int = BUCKETS, smoothing: float = S
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
         return None
-    # The raw model's shape is the prior of the target's, with the weight of `smoothing` counts a bucket.
-    p_raw = (raw + smoothing) / (raw.sum() + smoothing * n_buckets)
-    p_target = (target + smoothing * n_buckets * p_raw) / (target.sum() + smoothing * n_buckets)
-    return np.log(p_target) - np.log(p_raw)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log(target + smoothing) - np.log(expected + smoothing)
 
 
 def measure(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray | None, n_buckets: int) -> dict[str, np.ndarray]:

@@ -66,11 +66,10 @@ def test_against_brute_force(spark):
         raw.update(grams(t))
         if i in trusted:
             target.update(grams(t))
-    n, m, pseudo = sum(raw.values()), sum(target.values()), quality.SMOOTHING * quality.BUCKETS
+    share = sum(target.values()) / sum(raw.values())
 
     def ratio(b):
-        p = (raw[b] + quality.SMOOTHING) / (n + pseudo)
-        return np.log((target[b] + pseudo * p) / (m + pseudo)) - np.log(p)
+        return np.log((target[b] + quality.SMOOTHING) / (raw[b] * share + quality.SMOOTHING))
 
     seen = Counter()
     for r in out.collect():
@@ -91,6 +90,16 @@ def test_junk_goes_and_clean_documents_stay(spark):
         assert r.kept == (r.doc_id % 4 != 0)
 
 
+def test_clean_documents_outside_a_small_trusted_set_stay(spark):
+    """Rare words of a document that isn't trusted aren't held against it."""
+    rnd = random.Random(8)
+    words = [f"word{k}" for k in range(900)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(80))) for i in range(120)]
+    labels = [(i, 1, 0) for i in range(0, 120, 4)]
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert out.where("NOT kept").count() == 0
+
+
 def test_no_labels_and_no_rows(spark):
     rows, labels = fixture()
     kinds = "doc_id long, text string, k string, j int", "doc_id long, quality int, toxic int"
