@@ -6,7 +6,8 @@ address (scheme, www. or m. before the host, default port, fragment, tracking pa
 parameters, .html, index.html and slashes at the end) are one vertex; canonical links and meta refreshes in
 the pages, and any redirect table given, are edges between vertices. Connected components over
 the edges are taken by distributed contraction. A component with an explicitly allowed member
-is allowed, else one with a blocked member is blocked; a page's own rule always stands.
+is allowed, else one with a blocked member is blocked; a page's own rule always stands. Members that
+decide are pages of the table: an address that only links or redirects name joins others, but no rule is applied to it.
 
 Only vertices, edges and one row a component move; the html doesn't leave its scan. A vertex or
 component that a third of the pages share is pre-aggregated before it is joined.

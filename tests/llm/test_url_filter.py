@@ -44,6 +44,7 @@ ROWS = [
     (20, "http://f.example.net/a/c", "<meta http-equiv=refresh content='5;url=http://example.org/es/2'>"),
     (21, "http://www.good.org/1", ""),
     (22, "http://example.org/es/2", ""),
+    (23, "http://example.org/es/9", ""),
 ]
 #: Pages whose own rule doesn't say what becomes of them, and what their aliases do.
 BY_ALIAS = {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 14: "allow", 15: "allow", 16: "allow", 18: "block", 19: "block", 20: "block"}
