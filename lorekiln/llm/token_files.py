@@ -17,10 +17,13 @@ table has no parts; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +50,26 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-#: The pieces that a byte-level pre-tokenizer makes, each of which is merged by itself.
-PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts with other characters go to the library whole: of these the classes are the same in every Unicode version.
-UNUSUAL = r"[^\t\n\r\x20-\x7E\xA1-\u02FF\u2010-\u2027\u20AC]"
+USUAL = r"\t\n\r\x20-\x7E\xA1-\u02FF\u2010-\u2027\u20AC"
+
+
+def _usual(kind: str) -> str:
+    """The usual characters of a general category, for use in a class."""
+    span = (chr(c) for c in (*range(0x7F), *range(0xA1, 0x300), *range(0x2010, 0x2028), 0x20AC))
+    return "".join(re.escape(c) for c in span if unicodedata.category(c)[0] == kind)
+
+
+def pieces() -> str:
+    """The pieces that a byte-level pre-tokenizer makes of a usual text, each of which is merged by itself."""
+    letters, numbers = _usual("L"), _usual("N")
+    return rf"'(?:[sdmt]|ll|ve|re)| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+
+
 #: Pieces that a worker keeps; past that it forgets all and begins anew, which changes no result.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 1_000_000
+#: New pieces that go to the library together.
+TOGETHER = 512
 
 
 class Encoder:
@@ -61,8 +78,6 @@ class Encoder:
     def __init__(self, path: str, end_id: int | None):
         import json
 
-        import regex
-
         self.made = tokenizer(path)
         top = max(self.made.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
         self.width = 2 if top < 1 << 16 else 4
@@ -70,11 +85,28 @@ class Encoder:
         cut, model = form.get("pre_tokenizer") or {}, form["model"]
         plain = not form.get("normalizer") and not form.get("truncation") and not form.get("padding") and not model.get("dropout") and all(x["special"] for x in form.get("added_tokens", []))
         self.by_pieces = plain and model["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
-        self.split, self.unusual = regex.compile(PIECES).findall, regex.compile(UNUSUAL).search
+        self.split, self.unusual = re.compile(pieces()).findall, re.compile(f"[^{USUAL}]").search
         self.memo: dict[str, bytes] = {}
+        self.between = self.made.encode("\n", add_special_tokens=False).ids if self.by_pieces else []
+        self.by_pieces = len(self.between) == 1
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, ids)]) * self.width
+        flat = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes()
+        return [flat[a:b] for a, b in pairwise(ends.tolist())]
+
+    def _learn(self, new: set[str]) -> None:
+        """Takes pieces into the memo. Those that aren't white space are encoded many together: a line end before one is a piece, and an id, of its own."""
+        white = [p for p in new if p.isspace()]
+        self.memo.update(zip(white, self._raw(white), strict=True))
+        solid = list(new.difference(white))
+        for k in range(0, len(solid), TOGETHER):
+            some = solid[k : k + TOGETHER]
+            ids = np.array(self.made.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            at = np.flatnonzero(ids == self.between[0])
+            flat, first, last = ids.tobytes(), [0, *((at + 1) * self.width).tolist()], [*(at * self.width).tolist(), None]
+            self.memo.update(zip(some, [flat[a:b] for a, b in zip(first, last, strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as they are stored."""
@@ -83,11 +115,10 @@ class Encoder:
         out = [None if self.unusual(t) else self.split(t) for t in texts]
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
-        new = list({p for pieces in out if pieces for p in pieces if p not in self.memo})
-        self.memo.update(zip(new, self._raw(new), strict=True))
-        whole = [k for k, pieces in enumerate(out) if pieces is None]
-        known = self.memo
-        out = [pieces if pieces is None else b"".join([known[p] for p in pieces]) for pieces in out]
+        self._learn(set().union(*[x for x in out if x]).difference(self.memo))
+        whole = [k for k, x in enumerate(out) if x is None]
+        known = self.memo.__getitem__
+        out = [x if x is None else b"".join(map(known, x)) for x in out]
         for k, raw in zip(whole, self._raw([texts[k] for k in whole]), strict=True):
             out[k] = raw
         return out
