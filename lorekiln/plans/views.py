@@ -41,10 +41,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that begin with one of the phrases, and every third with a second."""
+    """Whole chunks after one of the phrases, and every third after a second."""
     d = F.col("id").cast("long")
     cue = lambda k: F.element_at(F.array(*map(F.lit, CUES)), (k % len(CUES) + 1).cast("int"))
-    text = F.concat(cue(d), F.when(d % 3 == 0, cue(d * 7 + 3)).otherwise(""), F.regexp_replace(F.substring("content", 1, 90), "[^A-Za-z]+", " "), F.lit("end"))
+    text = F.concat(cue(d), F.when(d % 3 == 0, cue(d * 7 + 3)).otherwise(""), F.col("content"))
     return chunks(spark, sf_dir).withColumn("content", text)
 
 
