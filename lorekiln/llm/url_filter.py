@@ -6,8 +6,8 @@ address (scheme, www. or m. before the host, default port, fragment, tracking pa
 parameters, .html, index.html and slashes at the end) are one vertex; canonical links and meta refreshes in
 the pages, and any redirect table given, are edges between vertices. Connected components over
 the edges are taken by distributed contraction. A component with an explicitly allowed member
-is allowed, else one with a blocked member is blocked; a page's own rule always stands. Members that
-decide are pages of the table: an address that only links or redirects name joins others, but no rule is applied to it.
+is allowed, else one with a blocked member is blocked; a page's own rule always stands. All members
+decide, also addresses that only links or redirects name.
 
 Only vertices, edges and one row a component move; the html doesn't leave its scan. A vertex or
 component that a third of the pages share is pre-aggregated before it is joined.
@@ -84,12 +84,16 @@ def rule_of(h: Column, p: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<action:string,name:string>")
 
 
-def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """a, b: vertices that a canonical link or a refresh joins."""
+def links(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """a, b: vertices that a canonical link or a refresh joins; action: what the rules say of the address linked to."""
     html, url = F.col(html_col), F.col(url_col)
     to = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1))
     linked = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(url.alias("u"), F.explode(to).alias("l")).where("l <> ''")
-    return linked.select(vertex(F.col("u")).alias("a"), vertex(resolved(F.col("l"), F.col("u"))).alias("b")).where("a <> b").distinct()
+    return linked.select(F.col("u"), resolved(F.col("l"), F.col("u")).alias("t")).select(vertex(F.col("u")).alias("a"), vertex(F.col("t")).alias("b"), _action(F.col("t"), rules)).distinct()
+
+
+def _action(url: Column, rules) -> Column:
+    return rule_of(host(url), path(url), rules)["action"].alias("action")
 
 
 def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -98,12 +102,17 @@ def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id
     rows = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"), vertex(url).alias("node"))
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     rows = shared.cut(rows.select("page_id", "host", "path", "node", F.col("hit.name").alias("rule"), F.col("hit.action").alias("action")), "urls")
-    edges = links(pages, url_col, html_col)
+    edges = shared.cut(links(pages, rules, url_col, html_col), "links")
+    named = rows.select("node", "action").unionByName(edges.select(F.col("b").alias("node"), "action"))
+    edges = edges.select("a", "b")
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(vertex(F.col("from_url")).alias("a"), vertex(F.col("to_url")).alias("b")))
+        ends = [F.col("from_url").cast("string"), F.col("to_url").cast("string")]
+        edges = edges.unionByName(redirects.select(vertex(ends[0]).alias("a"), vertex(ends[1]).alias("b")))
+        for end in ends:
+            named = named.unionByName(redirects.select(vertex(end).alias("node"), _action(end, rules)))
     comps = components(edges)
-    # what rules say of each vertex, then of each component
-    said = rows.where("action IS NOT NULL").groupBy("node").agg(F.max(F.col("action") == "allow").alias("good"), F.max(F.col("action") == "block").alias("bad"))
+    # what rules say of each vertex, page or not, then of each component
+    said = named.where("node IS NOT NULL AND action IS NOT NULL").groupBy("node").agg(F.max(F.col("action") == "allow").alias("good"), F.max(F.col("action") == "block").alias("bad"))
     of_node = said.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = of_node.groupBy("comp").agg(F.max("good").alias("good"), F.max("bad").alias("bad"))
     blocked = of_comp.where("bad AND NOT good").select("comp")

@@ -84,3 +84,15 @@ def test_spellings_of_one_address(spark):
     df = spark.createDataFrame([(u,) for u in same + other], "u string")
     out = [r.v for r in df.select(url_filter.vertex(df.u).alias("v")).collect()]
     assert len(set(out[: len(same)])) == 1 and len(set(out)) == 1 + len(other)
+
+
+def test_rules_apply_to_addresses_that_are_no_pages(spark):
+    rows = [
+        (1, "http://a.net/1", "<link rel=canonical href='http://example.org/es/9'>"), (2, "http://b.net/2", "<meta http-equiv=refresh content='0; url=http://b.com/de/2'>"),
+        (3, "http://c.net/3", "<link rel=canonical href='http://b.com/de/3'>"), (4, "http://d.net/4", "<link rel=canonical href='http://c.net/3'><meta http-equiv=refresh content='0;url=http://ok.org/4'>"),
+        (5, "http://e.net/5", ""), (6, "http://f.net/6", ""), (7, "http://b.com:8080/fr/x", ""), (8, "http://b.com:80/de/y", "<link rel=canonical href='http://b.com/de/y'>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    redirects = spark.createDataFrame([("http://e.net/5", "http://example.org/es/10"), ("http://example.org/en/1", "http://f.net/6")], "from_url string, to_url string")
+    out = {r.page_id: r.verdict for r in url_filter.judged(df, redirects=redirects).collect()}
+    assert out == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "block"}
