@@ -40,10 +40,10 @@ LICENSES = (
     ("mit", "mit", f"mit {_L}", True, ()),
     ("expat", "expat", f"expat {_L}", True, ()),
     ("isc", "isc", f"isc {_L}", True, ()),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", True, ()),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: license)?", True, ()),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: license)?", True, ()),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?", True, ()),
-    ("0bsd", "0bsd", "(?:0bsd|zero clause bsd)", True, ()),
+    ("0bsd", "0bsd", "0bsd", True, ()),
     ("mpl", "m", f"(?:mpl|mozilla public(?: {_L})?)", True, ("1.0", "1.1", "2.0")),
     ("epl", "e", f"(?:epl|eclipse public {_L})", True, ("1.0", "2.0")),
     ("cpl", "common", f"common public {_L}", True, ("1.0",)),
@@ -63,7 +63,7 @@ LICENSES = (
     ("zlib", "zlib", f"zlib(?: libpng)? {_L}", True, ()),
     ("openssl", "openssl", f"openssl {_L}", True, ()),
     ("postgresql", "postgresql", f"postgresql {_L}", True, ()),
-    ("ncsa", "n", f"(?:ncsa|university of illinois)(?: open source)? {_L}", True, ()),
+    ("ncsa", "ncsa", f"ncsa(?: open source)? {_L}", True, ()),
     ("w3c", "w3c", f"w3c(?: software)? {_L}", True, ()),
     ("ms-pl", "microsoft", f"microsoft public {_L}", True, ()),
     ("ms-rl", "microsoft", f"microsoft reciprocal {_L}", True, ()),
@@ -81,6 +81,8 @@ LICENSES = (
     ("cc-by-nc-sa", "c", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", True, ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nc-nd", "c", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", True, ("1.0", "2.0", "2.5", "3.0", "4.0")),
 )
+#: Further names, each with a keyword of its own: a rule's keyword stands in whatever the rule can match.
+OTHER_NAMES = {"bsd-2-clause": ("freebsd", "freebsd(?: license)?"), "0bsd": ("zero", "zero clause bsd"), "ncsa": ("university", f"university of illinois(?: open source)? {_L}")}
 NAME, GRANT, VERSION, VERSION_GRANT, TAG = PRIORITIES = (10, 20, 30, 40, 50)
 _BY = "(?:licen[cs]ed|released|distributed|available|published|covered|provided) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 
@@ -97,9 +99,10 @@ def rules() -> list[tuple[str, str, str, int]]:
             out.append((word, _BY + exact + f"(?: {_L})?(?: or (?:any )?later(?: version)?)?", tag, VERSION_GRANT))
             out.append((word, exact + "(?: or (?:any )?later(?: version)?)?", tag, VERSION))
         out.append(("spdx", f"spdx {_L} identifier {label.replace('-', ' ')}", label, TAG))
-        out.append((word, _BY + name, label, GRANT))
-        if enough:
-            out.append((word, name, label, NAME))
+        for w, x in [(word, name), *([OTHER_NAMES[label]] if label in OTHER_NAMES else [])]:
+            out.append((w, _BY + x, label, GRANT))
+            if enough:
+                out.append((w, x, label, NAME))
     out += [("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: [a-z]+){1,3}", "copyright", NAME), ("all", "all rights reserved", "reserved", NAME), ("proprietary", "proprietary and confidential", "proprietary", GRANT)]
     return out
 

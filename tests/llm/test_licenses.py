@@ -66,3 +66,43 @@ def test_the_gate_lets_through_whatever_a_rule_or_base_phrase_can_match(spark):
     for i, t in enumerate(texts):
         assert out[i] == brute(t)[5], t
     assert spark.createDataFrame([], "doc_id long, text string").transform(licenses.scanned).count() == 0
+
+
+def spelled(tree):
+    """Every alternative of an expression, optional parts both with and without: at most one part is varied at a time."""
+    from re import _constants as C
+
+    def of(seq):
+        parts = [one(op, x) for op, x in seq]
+        plain = [p[0] for p in parts]
+        yield "".join(plain)
+        for k, p in enumerate(parts):
+            for other in p[1:]:
+                yield "".join([*plain[:k], other, *plain[k + 1 :]])
+
+    def one(op, x):
+        if op is C.LITERAL:
+            return [chr(x)]
+        if op is C.IN:
+            return [chr(v) if o is C.LITERAL else chr(v[0]) for o, v in x]
+        if op is C.BRANCH:
+            return [t for b in x[1] for t in of(b)]
+        if op is C.SUBPATTERN:
+            return list(of(x[3]))
+        least, most, body = x
+        assert op is C.MAX_REPEAT
+        return [t * n for n in sorted({least, min(most, 3)}) for t in of(body)]
+
+    return of(tree)
+
+
+def test_no_keyword_stops_a_rule_whatever_its_alternative(spark):
+    from re import _parser
+
+    texts = sorted({t for _, e, _, _ in licenses.rules() for t in spelled(_parser.parse(e))} | {"zero clause bsd", "the FreeBSD license", "FreeBSD", "University of Illinois Open Source License", "released under the University of Illinois license"})
+    assert len(texts) > 1500
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.labels for r in licenses.scanned(df).collect()}
+    wrong = [(t, out[i], brute(t)[5]) for i, t in enumerate(texts) if out[i] != brute(t)[5]]
+    assert not wrong
+    assert {out[texts.index(t)] for t in ("FreeBSD", "zero clause bsd", "University of Illinois Open Source License")} == {"bsd-2-clause", "0bsd", "ncsa"}
