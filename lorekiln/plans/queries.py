@@ -285,7 +285,7 @@ def strip_tool_noise(spark, d):
 
 def _fenced(spark, d):
     code = F.concat(F.lit("```py\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("chunk_index") + 2), lambda k: F.concat(F.lit("line "), k.cast("string"))), "\n"), F.lit("\n```\n"))
-    return V.chunks(spark, d).withColumn("content", F.concat(code, F.substring("content", 1, 60)))
+    return V.chunks(spark, d).withColumn("content", F.concat(code, F.col("content")))
 
 
 _FENCED = """'```py' || chr(10) || array_to_string(list_transform(range(1, least(chunk_index + 3, 5)), lambda k: 'line ' || k), chr(10)) || chr(10) || CASE WHEN chunk_index + 2 > 4 THEN '  ... (truncated)' || chr(10) ELSE '' END || '```' || chr(10) || substr(content, 1, 60)"""

@@ -76,3 +76,39 @@ def test_equals_sql_over_whole_texts(spark, duck, name):  # noqa: F811
     names = [x[0] for x in found.description]
     want = sorted(tuple(norm(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall())
     assert sorted(tuple(norm(r[c]) for c in sorted(df.columns)) for r in df.collect()) == want
+
+
+#: The SQL of the two queries on fenced texts reads 60 characters of a text.
+FENCED_CUT = "|| substr(content, 1, 60)"
+FENCES = "a\n\n\n\nb" * 20 + "\n[Tools used: Read]\n```sql\n" + "\n".join(f"row {k}" for k in range(9)) + "\n```\n**Assistant**: [Used tools: Bash]\nlast  \n\n\n"
+
+
+def shortened(text):
+    out, inside, n = [], False, 0
+    for line in text.split("\n"):
+        if line.strip().startswith("```"):
+            out += ["  ... (truncated)"] * (inside and n > 4) + [line]
+            inside, n = not inside, 0
+        elif inside:
+            n += 1
+            out += [line] * (n <= 4)
+        else:
+            out.append(line)
+    return "\n".join(out)
+
+
+def test_fences_and_noise_behind_the_first_characters_are_met(spark, tmp_path):
+    texts = [FENCES, "x" * 300 + "\n```\n1\n2\n3\n4\n5\n", "plain"]
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    fenced = {str(i): "```py\n" + "\n".join(f"line {k}" for k in range(1, i % 5 + 3)) + "\n```\n" + t for i, t in enumerate(texts)}
+    assert {r.id: r.text for r in QUERIES["truncate_code"](spark, str(tmp_path)).collect()} == {i: shortened(t) for i, t in fenced.items()}
+    quiet = {i: "\n".join(x for x in t.split("\n") if not re.match(r"\[(?:Used )?[Tt]ools?(?: used)?:|\*\*Assistant\*\*: \[Used tools:", x.strip())) for i, t in fenced.items()}
+    assert {r.id: r.text for r in QUERIES["optimize_content"](spark, str(tmp_path)).collect()} == {i: re.sub(r"\n{3,}", "\n\n", shortened(t + "\n \n")).strip() for i, t in quiet.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
+@pytest.mark.parametrize("name", ["truncate_code", "optimize_content"])
+def test_equals_sql_over_whole_fenced_texts(spark, duck, name):  # noqa: F811
+    assert duck.execute("SELECT count(*) FROM documents WHERE contains(text, '```')").fetchone() == (0,)  # else the SQL isn't exact
+    want = {r[0]: r[1] for r in duck.execute(ORACLES[name].replace(FENCED_CUT, "|| content")).fetchall()}
+    assert {r.id: r.text for r in QUERIES[name](spark, SF).collect()} == want
