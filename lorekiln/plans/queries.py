@@ -244,7 +244,7 @@ def path_sanitize(spark, d):
 
 @query()
 def session_transcripts(spark, d):
-    return lifecycle.transcript(V.exchanges(spark, d), ends=2, most=200).select("session_id", F.md5("transcript").alias("transcript"))
+    return lifecycle.transcript(V.exchanges(spark, d)).select("session_id", F.md5("transcript").alias("transcript"))
 
 
 # --- filters and functions -------------------------------------------------------------------------

@@ -112,3 +112,18 @@ def test_equals_sql_over_whole_fenced_texts(spark, duck, name):  # noqa: F811
     assert duck.execute("SELECT count(*) FROM documents WHERE contains(text, '```')").fetchone() == (0,)  # else the SQL isn't exact
     want = {r[0]: r[1] for r in duck.execute(ORACLES[name].replace(FENCED_CUT, "|| content")).fetchall()}
     assert {r.id: r.text for r in QUERIES[name](spark, SF).collect()} == want
+
+
+def test_transcripts_keep_what_the_reference_keeps(spark, tmp_path):
+    import hashlib
+
+    turns = {1: 5, 2: 60, 3: 61}
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}-{t} " + "é" * 500) for c, n in turns.items() for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {}
+    for c, n in turns.items():
+        parts = [f"### {'User' if t % 2 == 0 else 'Assistant'}\n\n{c}-{t} " + "é" * 500 for t in range(n) if n <= 60 or t < 30 or t >= n - 30]
+        if n > 60:
+            parts[29] += f"\n\n*[{n - 60} exchanges omitted]*"
+        want[f"c{c}"] = hashlib.md5("\n\n".join(parts).encode()).hexdigest()
+    assert {r.session_id: r.transcript for r in QUERIES["session_transcripts"](spark, str(tmp_path)).collect()} == want
