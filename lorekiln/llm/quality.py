@@ -1,18 +1,18 @@
 """Quality rules: surface counts, and the length-normalised log-likelihood ratio of hashed n-grams.
 
-Two multinomials over BUCKETS hashed word 1- and 2-grams are estimated: *raw* from every row of the
-corpus, *target* from the trusted labelled rows (quality 1, not toxic; at most TRUSTED_ROWS of them,
+Two multinomials over BUCKETS hashed word 1- and 2-grams are estimated, in which a text counts once however many
+copies it has: *raw* from the whole corpus, *target* from the trusted labelled rows (quality 1, not toxic; at most TRUSTED_ROWS of them,
 those of the smallest id hash, so the set that travels to the executors is bounded). A document's score is
 the mean over its n-grams of log p_target - log p_raw; it is kept if no surface rule fails and the
 score reaches THRESHOLD. Both models are taken at the target's size and smoothed by the same number of counts
 a bucket, so a bucket of which the target would hold few n-grams says little: clean documents outside
 the trusted set don't suffer from their rare words, however small that set is. Nothing is drawn at random: equal input, equal verdict.
 
-Both passes are one scan each; the histograms are added up by bucket, so what is gathered is
+Both passes are one scan each, and the first deals the distinct texts out by hash; the histograms are added up by bucket, so what is gathered is
 BUCKETS rows at any input size.
 
 Defined cases: a null or empty text has no words, so it fails the surface rule; a null id is carried
-through and never trusted; repeated rows are judged (and counted) each; without trusted rows there
+through and never trusted; repeated rows are judged each, and counted once for each text; without trusted rows there
 is no target, and only the surface rules decide; other columns are ignored, or carried by `judge`.
 """
 
@@ -54,8 +54,7 @@ def buckets(data: np.ndarray, offsets: np.ndarray, n_buckets: int):
 
 
 def histograms(docs: DataFrame, trusted: list[int], n_buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bucket, raw, target: n-gram counts over all rows, and over those whose id is trusted."""
-    ids = np.array(sorted(trusted), np.int64)
+    """bucket, raw, target: n-gram counts over all distinct texts, and over those that a trusted id has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
@@ -63,13 +62,16 @@ def histograms(docs: DataFrame, trusted: list[int], n_buckets: int = BUCKETS, id
             data, offsets = shared.text_bytes(part.column("t"))
             bucket, doc, _ = buckets(data, offsets, n_buckets)
             raw += np.bincount(bucket, minlength=n_buckets)
-            own = part.column("i").to_numpy(zero_copy_only=False)
-            if len(ids) and (good := np.isin(own, ids)).any():
+            good = part.column("good").to_numpy(zero_copy_only=False)
+            if good.any():
                 target += np.bincount(bucket[good[doc]], minlength=n_buckets)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
-    rows = docs.select(shared.id_or_lowest(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    ids = docs.sparkSession.createDataFrame([(int(i), True) for i in sorted(trusted)], "i long, good boolean")
+    rows = docs.select(shared.id_or_lowest(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), "i", "left")
+    # copies are folded before they are dealt out, so a text that makes much of the corpus weighs no more than another
+    rows = rows.groupBy(F.md5("t").alias("h")).agg(F.first("t").alias("t"), F.coalesce(F.max("good"), F.lit(False)).alias("good")).drop("h")
     parts = rows.mapInArrow(count, "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 

@@ -124,3 +124,14 @@ def test_words_do_not_depend_on_where_they_stand():
     h = textnp.hashes(textnp.running(data), start, end)
     assert h[0] == h[5] and h[1] == h[2] == h[4] and len(set(h.tolist())) == 3
     assert h[0] == word_hash("ab")
+
+
+def test_a_clean_text_with_many_copies_and_no_label_stays(spark):
+    rnd = random.Random(9)
+    words, own = [f"word{k}" for k in range(900)], [f"other{k}" for k in range(200)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(80))) for i in range(300)]
+    copied = " ".join(own)
+    rows += [(1000 + i, copied) for i in range(150)]
+    labels = [(i, 1, 0) for i in range(0, 300, 3)]
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert out.where("doc_id >= 1000 AND NOT kept").count() == 0 and out.count() == 450
