@@ -27,19 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lorekiln.llm import shared
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _WHITE = b" \t\n\x0b\x0c\r"
-_RUN = "hi long, lo long, i long, v int, p int, kind int, n long"
+_RUN = "hi long, lo long, i long, v long, p int, kind int, n long"
 DROP, OPEN, EDGE = 0, 1, 2
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """i: id; v: hash of the text, which tells texts of one id apart; t: text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(shared.id_or_lowest(id_col).alias("i"), F.hash(text).alias("v"), text.alias("t"))
+    return docs.select(shared.id_or_lowest(id_col).alias("i"), F.xxhash64(text).alias("v"), text.alias("t"))
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,7 +66,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
                 rows = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(halves[0::2]), pa.array(halves[1::2]), part.column("i").take(rows), part.column("v").take(rows), pa.array(at, pa.int32())], ["hi", "lo", "i", "v", "p"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(each, "hi long, lo long, i long, v int, p int")
+    return _keyed(docs, id_col, text_col).mapInArrow(each, "hi long, lo long, i long, v long, p int")
 
 
 def _settle(sorted_rows: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,7 @@ def _settle(sorted_rows: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, n, np.int64))], [*names, "kind", "n"])
 
     def edge() -> pa.RecordBatch:
-        return rows([np.array([x], t) for x, t in ((key[0], "i8"), (key[1], "i8"), (keeper, "i8"), (0, "i4"), (0, "i4"))], EDGE, ids)
+        return rows([np.array([x], t) for x, t in ((key[0], "i8"), (key[1], "i8"), (keeper, "i8"), (0, "i8"), (0, "i4"))], EDGE, ids)
 
     for batch in sorted_rows:
         n = batch.num_rows
@@ -182,41 +183,48 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
             made = [pack_bitmap(np.array(x.as_py(), np.int64)) for x in b.column("p")]
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("v"), pa.array(made, pa.binary())], ["i", "v", "keep"])
 
-    return lists.mapInArrow(each, "i long, v int, keep binary")
+    return lists.mapInArrow(each, "i long, v long, keep binary")
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, columns: list[str], keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The named columns of docs, and `keep`: null for documents that lose nothing."""
+    """The named columns of docs, and `keep`: null for documents that lose nothing.
+
+    The bitmaps of a partition are hashed and the texts stream past them, so no text is sorted or held.
+    """
     i, v = shared.fresh([*columns, keep], "i", "v")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    left = docs.select(*[F.col(f"`{c}`") for c in columns], shared.id_or_lowest(id_col).alias(i), F.hash(text).alias(v))
+    left = docs.select(*[F.col(f"`{c}`") for c in columns], shared.id_or_lowest(id_col).alias(i), F.xxhash64(text).alias(v))
     right = bitmaps.select(F.col("i").alias(i), F.col("v").alias(v), F.col("keep").alias(keep))
-    return left.join(right, [i, v], "left").drop(i, v)
+    return left.join(right.hint("shuffle_hash"), [i, v], "left").drop(i, v)
+
+
+@F.arrow_udf(StructType([StructField("t", StringType()), StructField("n", LongType())]))
+def _kept(text: pa.Array, bitmap: pa.Array) -> pa.Array:
+    """The text less its dropped lines, and their number; null without a bitmap."""
+    texts, gone = [], []
+    for one, bits in zip(text, bitmap, strict=True):
+        if not bits.is_valid:
+            texts.append(None)
+            gone.append(None)
+            continue
+        split = one.as_py().split("\n")
+        go = dropped_of(bits.as_py(), len(split))
+        texts.append("\n".join(x for x, g in zip(split, go, strict=True) if not g))
+        gone.append(int(go.sum()))
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["t", "n"])
 
 
 def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `text_col` less its dropped lines, and n_lines, n_dropped (long) after its own columns."""
+    """docs with `text_col` less its dropped lines, and n_lines, n_dropped (long) after its own columns.
+
+    Only texts that lose a line are given to Python; the others go from the scan to the result.
+    """
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    (keep,) = shared.fresh(own, "keep")
+    keep, got = shared.fresh([*own, "n_lines", "n_dropped"], "keep", "got")
     joined = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs, id_col, text_col), own, keep, id_col, text_col)
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    schema = StructType([*(docs.schema[c] for c in own), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in shared.slices(batches, text_col):
-            texts, lines, gone = [], [], []
-            for text, bitmap in zip(part.column(text_col).to_pylist(), part.column(keep).to_pylist(), strict=True):
-                split = (text or "").split("\n")
-                lines.append(len(split))
-                if bitmap:
-                    go = dropped_of(bitmap, len(split))
-                    text = "\n".join(x for x, g in zip(split, go, strict=True) if not g)
-                    gone.append(int(go.sum()))
-                else:
-                    gone.append(0)
-                texts.append(text)
-            cols = [pa.array(texts, part.schema.field(c).type) if c == text_col else part.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
-
-    return joined.mapInArrow(each, schema)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    touched = F.col(keep).isNotNull()
+    cut = joined.withColumn(got, _kept(F.when(touched, text), F.col(keep)))
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    columns = [F.when(touched, F.col(f"{got}.t")).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in own]
+    return cut.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.col(f"{got}.n"), F.lit(0).cast("long")).alias("n_dropped"))
