@@ -50,24 +50,36 @@ _TAG = _rng.integers(1, 2**63, VALUES, dtype=np.uint64).reshape(CHUNKS, WIDTH)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each document of a slice."""
-    data = textnp.LOWER[data]
+    """The sorted distinct 64-bit shingle hashes of each document of a slice; a long document goes by in blocks."""
     n = len(offsets) - 1
-    start, end, doc = textnp.spans(data, offsets)
-    word = textnp.hashes(textnp.running(data), start, end)
-    shingle, first = textnp.grams(word, doc, size)
-    at = np.searchsorted(doc[first], np.arange(n + 1))
-    word_at = np.searchsorted(doc, np.arange(n + 1))
-    out = []
-    for d in range(n):
-        few = word_at[d + 1] - word_at[d]
-        if few >= size:
-            out.append(np.unique(shingle[at[d] : at[d + 1]]))
-        elif few:
-            out.append(textnp.grams(word[word_at[d] : word_at[d + 1]], doc[word_at[d] : word_at[d + 1]], int(few))[0])
+    heads, count = [], np.zeros(n, np.int64)
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part, own, first in textnp.blocks(data, offsets):
+            word, doc = textnp.words(textnp.LOWER[part], own)
+            count[:] += np.bincount(doc + first, minlength=n)
+            # the first words of each document, for those with fewer than a shingle takes
+            lead = np.flatnonzero(np.diff(doc, prepend=-1))
+            some = np.arange(len(doc)) - np.repeat(lead, np.diff(lead, append=len(doc))) < size
+            heads.append((word[some], doc[some] + first))
+            yield word, doc + np.int32(first)
+
+    found = []
+    for key, doc, _ in textnp.windows(parts(), size):
+        if n == 1:
+            found.append((np.unique(key), None))
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            found.append((key, doc))
+    if n == 1:
+        sets = [np.unique(np.concatenate([k for k, _ in found])) if found else np.zeros(0, np.uint64)]
+    else:
+        key, doc = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, kind) for k, kind in enumerate((np.uint64, np.int32)))
+        at = np.searchsorted(doc, np.arange(n + 1))
+        sets = [np.unique(key[at[d] : at[d + 1]]) for d in range(n)]
+    for d in np.flatnonzero((count > 0) & (count < size)):
+        word = np.concatenate([w[of == d] for w, of in heads])
+        sets[d] = textnp.grams(word, np.zeros(len(word), np.int32), len(word))[0]
+    return sets
 
 
 def signature(items: np.ndarray) -> np.ndarray:

@@ -18,7 +18,9 @@ is no target, and only the surface rules decide; other columns are ignored, or c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +45,22 @@ JUDGED = (
 )
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray, n_buckets: int):
-    """The hashed 1- and 2-grams of a slice: bucket and document of each, and what they were made of."""
-    start, end, doc = textnp.spans(data, offsets)
-    sums = textnp.running(data)
-    word = textnp.hashes(sums, start, end)
-    pair, first = textnp.grams(word, doc, 2)
-    gram = np.concatenate([word, pair])
-    return (gram % np.uint64(n_buckets)).astype(np.int64), np.concatenate([doc, doc[first]]), (start, end, doc, sums, word)
+def word_parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash and document of the words, a block at a time."""
+    for part, own, first in textnp.blocks(data, offsets):
+        word, doc = textnp.words(part, own)
+        yield word, doc + np.int32(first)
+
+
+def buckets(parts: Iterable[tuple[np.ndarray, np.ndarray]], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashed 1- and 2-grams of words that come in parts: bucket and document of each."""
+    lead, owner = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    for word, doc in parts:
+        pair, first = textnp.grams(np.concatenate([lead, word]), owners := np.concatenate([owner, doc]), 2)
+        gram = np.concatenate([word, pair])
+        yield (gram % np.uint64(n_buckets)).astype(np.int64), np.concatenate([doc, owners[first]])
+        if len(word):
+            lead, owner = word[-1:], doc[-1:]
 
 
 def histograms(docs: DataFrame, trusted: list[int], n_buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,11 +70,11 @@ def histograms(docs: DataFrame, trusted: list[int], n_buckets: int = BUCKETS, id
         raw, target = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
         for part in shared.slices(batches, "t"):
             data, offsets = shared.text_bytes(part.column("t"))
-            bucket, doc, _ = buckets(data, offsets, n_buckets)
-            raw += np.bincount(bucket, minlength=n_buckets)
             good = part.column("good").to_numpy(zero_copy_only=False)
-            if good.any():
-                target += np.bincount(bucket[good[doc]], minlength=n_buckets)
+            for bucket, doc in buckets(word_parts(data, offsets), n_buckets):
+                raw += np.bincount(bucket, minlength=n_buckets)
+                if good.any():
+                    target += np.bincount(bucket[good[doc]], minlength=n_buckets)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
@@ -94,36 +104,49 @@ def log_ratios(counts: DataFrame, n_buckets: int = BUCKETS, smoothing: float = S
     return np.log(target + smoothing) - np.log(expected + smoothing)
 
 
+def duplicate_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier line; long ones are told by a 256-bit hash."""
+    seen, count = set(), 0
+    for line in io.BytesIO(text):
+        line = line.removesuffix(b"\n")
+        if line.strip(textnp.WHITE):
+            key = line if len(line) <= 64 else blake2b(line, digest_size=32).digest() + b"\n"  # no line ends so
+            if key in seen:
+                count += 1
+            else:
+                seen.add(key)
+    return count
+
+
 def measure(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray | None, n_buckets: int) -> dict[str, np.ndarray]:
     """The surface counts and the score of each document of a slice."""
     n = len(offsets) - 1
-    bucket, owner, (start, end, doc, sums, word) = buckets(data, offsets, n_buckets)
-    out = {"n_words": np.bincount(doc, minlength=n)}
-    out["word_chars"] = textnp.per_doc(~textnp.SPACE[data] & ((data & 0xC0) != 0x80), offsets)
-    out["n_symbols"] = textnp.per_doc(_SYMBOL[data], offsets)
-    # lines that hold a word
-    breaks = np.flatnonzero(data == 10)
-    line_start = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
-    line_start = line_start[line_start < len(data)]
-    stop = np.searchsorted(breaks, line_start)
-    line_end = np.where(stop < len(breaks), np.append(breaks, len(data))[stop], len(data))
-    line_doc = np.searchsorted(offsets, line_start, side="right") - 1
-    line_end = np.minimum(line_end, offsets[line_doc + 1])
-    at = np.searchsorted(start, line_start)
-    full = (at < len(start)) & (np.append(start, len(data))[np.minimum(at, len(start))] < line_end)
-    line_start, line_end, line_doc = line_start[full], line_end[full], line_doc[full]
-    _, before = textnp.repeated(textnp.hashes(sums, line_start, line_end), line_doc)
-    out["n_dup_lines"] = np.bincount(line_doc[before], minlength=n)
+    out = {c: np.zeros(n, np.int64) for c in ("n_words", "word_chars", "n_symbols")}
+    for part, own, first in textnp.blocks(data, offsets):
+        rows = slice(first, first + len(own) - 1)
+        out["word_chars"][rows] += textnp.per_doc(~textnp.SPACE[part] & ((part & 0xC0) != 0x80), own)
+        out["n_symbols"][rows] += textnp.per_doc(_SYMBOL[part], own)
+    out["n_dup_lines"] = np.array([duplicate_lines(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
+    parts = list(word_parts(data, offsets))
+    grams, total = np.zeros(n, np.int64), np.zeros(n)
+    for bucket, owner in buckets(parts, n_buckets):
+        grams += np.bincount(owner, minlength=n)
+        if ratio is not None:
+            total += np.bincount(owner, weights=ratio[bucket], minlength=n)
+    for _, doc in parts:
+        out["n_words"] += np.bincount(doc, minlength=n)
     # words in windows that stand twice or more
-    window, first = textnp.grams(word, doc, WINDOW)
-    more, _ = textnp.repeated(window, doc[first])
-    change = np.zeros(len(word) + 1, np.int64)
-    np.add.at(change, first[more], 1)
-    np.add.at(change, first[more] + WINDOW, -1)
-    out["n_repeat_words"] = np.bincount(doc[np.cumsum(change[:-1]) > 0], minlength=n)
+    found = list(textnp.windows(iter(parts), WINDOW))
+    doc = np.concatenate([d for _, d in parts]) if parts else np.zeros(0, np.int32)
+    del parts
+    key, owner, at = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, kind) for k, kind in enumerate((np.uint64, np.int32, np.int64)))
+    del found
+    at = at[textnp.repeated(key, owner)]
+    change = np.zeros(len(doc) + 1, np.int8)  # at most WINDOW windows stand over a word
+    change[at] += 1
+    change[at + WINDOW] -= 1
+    out["n_repeat_words"] = np.bincount(doc[np.cumsum(change[:-1], dtype=np.int8) > 0], minlength=n)
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * out["n_words"])
-    grams = np.bincount(owner, minlength=n)
-    total = np.bincount(owner, weights=ratio[bucket], minlength=n) if ratio is not None else np.zeros(n)
     out["score"] = np.round(total / np.maximum(grams, 1), 9)
     return out
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from lorekiln.llm import near_dedup
+from lorekiln.llm import near_dedup, textnp
 from lorekiln.llm.components import components
 
 
@@ -107,3 +107,25 @@ def test_brief_sets_never_have_less_in_common():
                 got = near_dedup._meetings(size, brief, x, some, mark)
                 assert (got >= [len(np.intersect1d(sets[x], sets[o])) for o in some]).all()
                 assert not mark.any()
+
+
+def test_crafted_words_are_told_apart(spark):
+    """Thue-Morse words, which collide under any polynomial hash modulo 2**64."""
+    x = "ab"
+    while len(x) < 1024:
+        x += x.translate(str.maketrans("ab", "ba"))
+    rows = [(1, x), (2, x.translate(str.maketrans("ab", "ba"))), (3, x.upper())]
+    assert got(spark, wide(rows), 2) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
+
+
+def test_blocks_do_not_change_sets(monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["a", "b", "c" * 50, "d", "e"]) for _ in range(n)) for n in (0, 1, 2, 4, 5, 6, 300)] + ["x" * 300, "x" * 90 + " " + "y" * 90]
+    raw = [t.encode() for t in texts]
+    slices = [(b"".join(raw), np.cumsum([0, *map(len, raw)])), *((r, np.array([0, len(r)])) for r in raw)]
+    whole = [near_dedup.shingle_sets(np.frombuffer(d, np.uint8), o, 5) for d, o in slices]
+    small = textnp.blocks
+    monkeypatch.setattr(textnp, "blocks", lambda d, o: small(d, o, 64))
+    for (d, o), want in zip(slices, whole):
+        assert all((x == y).all() for x, y in zip(near_dedup.shingle_sets(np.frombuffer(d, np.uint8), o, 5), want, strict=True))
+    assert all((x == y[0]).all() for x, y in zip(whole[0], whole[1:], strict=True))

@@ -1,6 +1,8 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 
@@ -18,8 +20,7 @@ def mixed(x):
 
 
 def word_hash(word):
-    raw = word.encode()
-    return mixed((sum(int(textnp._BYTE[b]) * pow(textnp._BASE, k, 2**64) for k, b in enumerate(raw)) + len(raw)) & MASK)
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
 
 
 def grams(text):
@@ -62,9 +63,9 @@ def test_against_brute_force(spark):
     assert out.columns[:2] == ["doc_id", "text"] and len(out.columns) == len(set(out.columns))
     trusted = {i for i, q, t in labels if q == 1 and not t and i is not None}
     raw, target = Counter(), Counter()
-    for i, t, *_ in rows:
+    for t in {t for _, t, *_ in rows}:  # a text counts once, however many copies it has
         raw.update(grams(t))
-        if i in trusted:
+        if any(i in trusted for i, x, *_ in rows if x == t):
             target.update(grams(t))
     share = sum(target.values()) / sum(raw.values())
 
@@ -118,12 +119,54 @@ def test_words_do_not_depend_on_where_they_stand():
     texts = [b"ab cd", b"cd", b"", b"xab cd ab"]
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.cumsum([0, *map(len, texts)])
-    start, end, doc = textnp.spans(data, offsets)
-    words = [bytes(data[a:b]) for a, b in zip(start, end)]
-    assert list(zip(doc, words)) == [(0, b"ab"), (0, b"cd"), (1, b"cd"), (3, b"xab"), (3, b"cd"), (3, b"ab")]
-    h = textnp.hashes(textnp.running(data), start, end)
-    assert h[0] == h[5] and h[1] == h[2] == h[4] and len(set(h.tolist())) == 3
-    assert h[0] == word_hash("ab")
+    word, doc = textnp.words(data, offsets)
+    assert doc.tolist() == [0, 0, 1, 3, 3, 3]
+    assert word.tolist() == [word_hash(w) for w in ("ab", "cd", "cd", "xab", "cd", "ab")]
+
+
+def thue_morse(n):
+    """Two strings whose polynomial hashes modulo 2**64 are equal, whatever the base."""
+    x = "ab"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_lines_and_words_of_crafted_texts_are_told_apart():
+    x, y = thue_morse(1024)
+    text = f"{x}\n{y}\n{x} {y}\n{'z' * 100}\n{'z' * 100}\n {'z' * 100}".encode()
+    got = quality.measure(np.frombuffer(text, np.uint8), np.array([0, len(text)]), None, quality.BUCKETS)
+    assert got["n_dup_lines"].tolist() == [1] and got["n_words"].tolist() == [7]
+    word, _ = textnp.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(set(word.tolist())) == 3
+
+
+def test_blocks_do_not_change_what_is_measured(monkeypatch):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["one", "two", "three", "x" * 70, "é\n"]) for _ in range(rnd.choice([0, 1, 5, 300]))) for _ in range(40)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    ratio = np.random.default_rng(1).normal(size=quality.BUCKETS)
+    whole = quality.measure(data, offsets, ratio, quality.BUCKETS)
+    for r in range(len(texts)):
+        assert tuple(int(whole[c][r]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == surface(texts[r])
+    small = textnp.blocks
+    monkeypatch.setattr(textnp, "blocks", lambda d, o: small(d, o, 64))
+    cut = quality.measure(data, offsets, ratio, quality.BUCKETS)
+    for c in whole:
+        assert np.allclose(whole[c], cut[c]), c
+
+
+def test_a_very_long_text_takes_some_bytes_a_byte():
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(5000)]
+    text = " ".join(rnd.choice(words) for _ in range(2_000_000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    tracemalloc.start()
+    got = quality.measure(data, np.array([0, len(text)]), np.zeros(quality.BUCKETS), quality.BUCKETS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["n_words"].tolist() == [2_000_000] and peak < 10 * len(text)
 
 
 def test_a_clean_text_with_many_copies_and_no_label_stays(spark):
