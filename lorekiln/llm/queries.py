@@ -175,7 +175,7 @@ def _quote(x: str) -> str:
 
 def op10_sql() -> str:
     fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{a} {h}{p}'" for a, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2])))
-    link = lambda tag, attribute: f"regexp_extract(regexp_extract(html, {_quote(tag)}), {_quote(attribute)}, 1)"
+    links = lambda tag, attribute: f"list_transform(regexp_extract_all(html, {_quote(tag)}), lambda x: regexp_extract(x, {_quote(attribute)}, 1))"
     return f"""
 WITH RECURSIVE parsed AS (
   SELECT page_id, html, {_rest("coalesce(url, '')")} AS rest FROM pages
@@ -184,17 +184,18 @@ WITH RECURSIVE parsed AS (
 ), ruled AS (
   SELECT *, CASE {fits} END AS hit FROM urls
 ), linked AS (
-  SELECT node, host, path, unnest([{link(url_filter.CANONICAL, url_filter.HREF)}, {link(url_filter.REFRESH, url_filter.TARGET)}]) AS l FROM urls WHERE regexp_matches(html, '(?i)canonical|http-equiv')
+  SELECT node, host, path, replace(unnest(list_concat({links(url_filter.CANONICAL, url_filter.HREF)}, {links(url_filter.REFRESH, url_filter.TARGET)})), '&amp;', '&') AS l FROM urls WHERE regexp_matches(html, '(?i)canonical|http-equiv')
 ), resolved AS (
   SELECT node AS a, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN starts_with(l, '//') THEN 'http:' || l WHEN starts_with(l, '/') THEN 'http://' || host || l
     ELSE 'http://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || l END AS u FROM linked WHERE l <> ''
 ), targets AS (SELECT a, {_rest("u")} AS rest FROM resolved
-), edges AS (SELECT DISTINCT a, {_vertex("rest")} AS b FROM targets
+), edges AS (SELECT DISTINCT a, {_vertex("rest")} AS b, {_host("rest")} AS host, {_path("rest")} AS path FROM targets
+), named AS (SELECT node, hit FROM ruled UNION SELECT b, CASE {fits} END FROM edges
 ), both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b
 ), reach AS (
   SELECT node, node AS r FROM urls WHERE node IS NOT NULL UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a
 ), said AS (
-  SELECT reach.node, bool_or(starts_with(hit, 'allow')) AS good, bool_or(starts_with(hit, 'block')) AS bad FROM reach JOIN ruled ON ruled.node = reach.r GROUP BY reach.node
+  SELECT reach.node, bool_or(starts_with(hit, 'allow')) AS good, bool_or(starts_with(hit, 'block')) AS bad FROM reach JOIN named ON named.node = reach.r GROUP BY reach.node
 )
 SELECT page_id, host, path, string_split(hit, ' ')[2] AS rule, coalesce(string_split(hit, ' ')[1], CASE WHEN bad AND NOT coalesce(good, false) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN said USING (node)

@@ -3,8 +3,8 @@ r"""URL filters with redirect equivalence; DataFrame operations only.
 A rule is (action, host, path): it fits its host and all subdomains, if the URL's path starts with the rule's; the
 longest rule that fits wins. URLs that no rule fits are judged by their aliases: spellings of one
 address (scheme, www. or m. before the host, default port, fragment, tracking parameters and the order of
-parameters, .html, index.html and slashes at the end) are one vertex; canonical links and meta refreshes in
-the pages, and any redirect table given, are edges between vertices. Connected components over
+parameters, .html, index.html and slashes at the end) are one vertex; all canonical links and meta refreshes in
+the pages (&amp; in them is &), and any redirect table given, are edges between vertices. Connected components over
 the edges are taken by distributed contraction. A component with an explicitly allowed member
 is allowed, else one with a blocked member is blocked; a page's own rule always stands. All members
 decide, also addresses that only links or redirects name.
@@ -87,9 +87,11 @@ def rule_of(h: Column, p: Column, rules=RULES) -> Column:
 def links(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """a, b: vertices that a canonical link or a refresh joins; action: what the rules say of the address linked to."""
     html, url = F.col(html_col), F.col(url_col)
-    to = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1))
+    every = lambda tag, attribute: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, attribute, 1))
+    to = F.concat(every(CANONICAL, HREF), every(REFRESH, TARGET))
     linked = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select(url.alias("u"), F.explode(to).alias("l")).where("l <> ''")
-    return linked.select(F.col("u"), resolved(F.col("l"), F.col("u")).alias("t")).select(vertex(F.col("u")).alias("a"), vertex(F.col("t")).alias("b"), _action(F.col("t"), rules)).distinct()
+    linked = linked.select(F.col("u"), resolved(F.replace(F.col("l"), F.lit("&amp;"), F.lit("&")), F.col("u")).alias("t"))
+    return linked.select(vertex(F.col("u")).alias("a"), vertex(F.col("t")).alias("b"), _action(F.col("t"), rules)).distinct()
 
 
 def _action(url: Column, rules) -> Column:
