@@ -17,29 +17,27 @@ from lorekiln.llm import shared
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, comp: the smallest vertex reachable from each vertex of an edge. Null ends and loops count for nothing."""
-    spark = edges.sparkSession
-    kind = edges.schema[a].dataType
-    edges = _tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
-    label = None
+    given, edges, label = edges, _tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"))
         up = shared.cut(up, "hooks")
         for _ in range(2):
             nxt = up.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
-            up = shared.cut(up.join(nxt, "comp").select("node", F.col("over").alias("comp")), "hooks")
-        if label is None:
-            label = up
-        else:
+            old, up = up, shared.cut(up.join(nxt, "comp").select("node", F.col("over").alias("comp")), "hooks")
+            shared.drop(old)
+        if label is not None:
             nxt = up.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
-            label = shared.cut(label.join(nxt, "comp", "left").select("node", F.coalesce("over", "comp").alias("comp")), "labels")
+            old, label = label, shared.cut(label.join(nxt, "comp", "left").select("node", F.coalesce("over", "comp").alias("comp")), "labels")
+            shared.drop(old)
         of_a = up.select(F.col("node").alias("a"), F.col("comp").alias("pa"))
         of_b = up.select(F.col("node").alias("b"), F.col("comp").alias("pb"))
-        edges = _tidy(edges.join(of_a, "a").join(of_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+        old, edges = edges, _tidy(edges.join(of_a, "a").join(of_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+        shared.drop(old, up if label is not None else None)
+        label = up if label is None else label
+    shared.drop(edges)
     if label is None:
-        from pyspark.sql.types import StructField, StructType
-
-        return spark.createDataFrame([], StructType([StructField("node", kind), StructField("comp", kind)]))
+        return given.select(F.col(a).alias("node"), F.col(a).alias("comp")).limit(0)
     return label
 
 

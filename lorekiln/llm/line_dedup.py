@@ -150,6 +150,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     keys = shared.cut(line_keys(docs, min_chars, id_col, text_col), "line-keys")  # range bounds are taken from the table, not from a second scan of the text
     dealt = keys.repartitionByRange(*(F.col(c) for c in ("hi", "lo")), F.col("i").desc()).sortWithinPartitions("hi", "lo", F.col("i").desc(), "v", "p")
     seen = shared.cut(dealt.mapInArrow(lambda rows: _settle(rows, min_docs), _RUN), "line-runs")
+    shared.drop(keys)
     # An edge row or two from each partition: their number is that of the partitions, not of the rows.
     edges = seen.where(F.col("kind") == EDGE).groupBy("hi", "lo").agg(F.sum("n").alias("ids"), F.max("i").alias("keeper"))
     edges = edges.where(F.col("ids") >= min_docs)

@@ -171,7 +171,10 @@ def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b")
 
 
-def _near_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _near_signatures(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs whose signatures are near and whose sets are of a size to be similar."""
+    num, den = similarity
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -179,7 +182,9 @@ def _near_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 near = pa.array((va != vb).sum(axis=1) <= REACH)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(near), b.column("b").filter(near)], ["a", "b"])
 
-    return _with(pairs, classes, "sig").select("a", "b", "va", "vb").mapInArrow(each, "a long, b long").distinct()
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("n").alias("n" + end), F.col("sig").alias("v" + end))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    return both.select("a", "b", "va", "vb").mapInArrow(each, "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -307,16 +312,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, in
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     made = shared.cut(signatures(docs, shingle, id_col, text_col), "signatures")
     named = made.where((F.col("n") > 0) & (F.col("i") != shared.NULL_ID))
-    classes = shared.cut(named.groupBy("h1", "h2").agg(F.min("i").alias("node"), F.first("sig").alias("sig")), "classes")
+    classes = shared.cut(named.groupBy("h1", "h2").agg(F.min("i").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     rows = _shared_keys(classes)
     sets = full_sets(docs, rows, shingle, id_col, text_col)
-    first = shared.cut(_near_signatures(_hub_pairs(rows), classes), "hub-pairs")
+    first = shared.cut(_near_signatures(_hub_pairs(rows), classes, similarity), "hub-pairs")
     links = shared.cut(confirmed(first, sets, similarity), "links")
-    second = _cross_pairs(rows, components(links), shared.cut(_brief(sets), "brief-sets"), similarity).join(first, ["a", "b"], "left_anti")
-    more = shared.cut(confirmed(shared.cut(second, "cross-pairs"), sets, similarity), "links")
+    so_far, briefs = components(links), shared.cut(_brief(sets), "brief-sets")
+    second = shared.cut(_cross_pairs(rows, so_far, briefs, similarity).join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    shared.drop(rows, so_far, briefs, first)
+    more = shared.cut(confirmed(second, sets, similarity), "links")
     comps = components(links.unionByName(more))
     of_class = classes.select("h1", "h2", "node").join(comps, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("comp"))
-    out = made.join(shared.cut(of_class, "classes"), ["h1", "h2"], "left")
+    of_class = shared.cut(of_class, "classes")
+    shared.drop(classes, sets, links, second, more, comps)
+    out = made.join(of_class, ["h1", "h2"], "left")
     named = F.col("i") != shared.NULL_ID
     found = F.when(named, F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("i")))
     return out.select(shared.null_if_lowest("i").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), (~named | (found == F.col("i"))).alias("kept"))

@@ -17,28 +17,62 @@ NULL_ID = -(2**63)
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes below a plan for each partition that compact leaves.
+COMPACT_BYTES = 32 << 20
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir; that setting is made only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below spark.checkpoint.dir; all of an application's go when it ends.
+
+    Where the setting is unset, a local master gets a temporary folder; on a cluster that is an error, since executors and driver share no such folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if not set_before:
-            spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-            set_before = spark.sparkContext.getCheckpointDir()
-        base = set_before
-    return f"{base.rstrip('/')}/lorekiln/{tag}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
+        base = spark.sparkContext.getCheckpointDir()
+    run = f"{base.rstrip('/')}/lorekiln/{spark.sparkContext.applicationId}"
+    if run not in _runs:
+        store, path = _store(spark, run)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _runs.add(run)
+    return f"{run}/{tag}-{uuid.uuid4().hex}"
+
+
+_runs: set[str] = set()
+
+
+def _store(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """df in a few partitions a core at most, so that what is written isn't many small files."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """df in fewer partitions, so that what is written isn't many small files: one for each COMPACT_BYTES of what the
+    plan reads, but four a core at least. A scan or shuffle of fewer partitions stays as it is, so tasks don't grow with the input."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // COMPACT_BYTES)), 2**31 - 1))
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: later steps read it back, so a lost executor costs one scan."""
     path = shared_dir(df.sparkSession, tag)
     compact(df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes tables made by cut, once all that was made from them is a table itself."""
+    for table in tables:
+        if path := table is not None and table.__dict__.pop("_cut_path", None):
+            store, at = _store(table.sparkSession, path)
+            store.delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:
