@@ -147,7 +147,7 @@ def _settle(sorted_rows: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """i, v, p: id, text hash and position of every line that goes."""
-    keys = shared.cut(line_keys(docs, min_chars, id_col, text_col), "line-keys")  # range bounds are taken from the table, not from a second scan of the text
+    keys = shared.cut(shared.compact(line_keys(docs, min_chars, id_col, text_col)), "line-keys")  # range bounds are taken from the table, not from a second scan of the text
     dealt = keys.repartitionByRange(*(F.col(c) for c in ("hi", "lo")), F.col("i").desc()).sortWithinPartitions("hi", "lo", F.col("i").desc(), "v", "p")
     seen = shared.cut(dealt.mapInArrow(lambda rows: _settle(rows, min_docs), _RUN), "line-runs")
     shared.drop(keys)

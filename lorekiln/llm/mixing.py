@@ -94,7 +94,7 @@ def thresholds(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """i, source, size, source_size, target, copies, taken: one row for each row of docs."""
-    rows = shared.cut(sized(docs, id_col, source_col, text_col), "mix-sizes")
+    rows = shared.cut(shared.compact(sized(docs, id_col, source_col, text_col)), "mix-sizes")
     plan = shared.cut(targets(rows, weights, budget, most), "mix-targets")
     n_sources = plan.count()
     out = _of_source(rows, thresholds(rows, plan, n_sources), n_sources)
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them."""
-    rows = shared.cut(sized(docs, id_col, source_col, text_col), "mix-sizes")
+    rows = shared.cut(shared.compact(sized(docs, id_col, source_col, text_col)), "mix-sizes")
     plan = shared.cut(targets(rows, weights, budget, most), "mix-targets")
     n_sources = plan.count()
     own, (h, copy) = docs.columns, shared.fresh([*docs.columns, "s", "words", "target", "repeats", "below"], "h", "copy")

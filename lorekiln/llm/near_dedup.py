@@ -310,14 +310,14 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    made = shared.cut(signatures(docs, shingle, id_col, text_col), "signatures")
+    made = shared.cut(shared.compact(signatures(docs, shingle, id_col, text_col)), "signatures")
     named = made.where((F.col("n") > 0) & (F.col("i") != shared.NULL_ID))
     classes = shared.cut(named.groupBy("h1", "h2").agg(F.min("i").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     rows = _shared_keys(classes)
     sets = full_sets(docs, rows, shingle, id_col, text_col)
     first = shared.cut(_near_signatures(_hub_pairs(rows), classes, similarity), "hub-pairs")
     links = shared.cut(confirmed(first, sets, similarity), "links")
-    so_far, briefs = components(links), shared.cut(_brief(sets), "brief-sets")
+    so_far, briefs = components(links), shared.cut(shared.compact(_brief(sets)), "brief-sets")
     second = shared.cut(_cross_pairs(rows, so_far, briefs, similarity).join(first, ["a", "b"], "left_anti"), "cross-pairs")
     shared.drop(rows, so_far, briefs, first)
     more = shared.cut(confirmed(second, sets, similarity), "links")

@@ -34,7 +34,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared.compact(url_filter.judged(_table(spark, sf_dir, "pages")))
+    return url_filter.judged(_table(spark, sf_dir, "pages"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -52,16 +52,16 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared.compact(packing.packed(_table(spark, sf_dir, "documents")))
+    return packing.packed(_table(spark, sf_dir, "documents"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared.compact(near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shared.compact(quality.quality(docs, _table(spark, sf_dir, "labels")).drop("text"))
+    return quality.quality(docs, _table(spark, sf_dir, "labels")).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

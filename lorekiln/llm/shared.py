@@ -51,8 +51,8 @@ def _store(spark: SparkSession, uri: str):
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """df in fewer partitions, so that what is written isn't many small files: one for each COMPACT_BYTES of what the
-    plan reads, but four a core at least. A scan or shuffle of fewer partitions stays as it is, so tasks don't grow with the input."""
+    """What a scan makes, in fewer partitions, so that small tables don't become many small files: one for each COMPACT_BYTES of what the
+    plan reads, but four a core at least. Not for what a shuffle makes: adaptive execution sizes that more evenly."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // COMPACT_BYTES)), 2**31 - 1))
@@ -61,7 +61,7 @@ def compact(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: later steps read it back, so a lost executor costs one scan."""
     path = shared_dir(df.sparkSession, tag)
-    compact(df).write.parquet(path)
+    df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

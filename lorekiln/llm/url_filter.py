@@ -103,7 +103,7 @@ def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"), vertex(url).alias("node"))
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
-    rows = shared.cut(rows.select("page_id", "host", "path", "node", F.col("hit.name").alias("rule"), F.col("hit.action").alias("action")), "urls")
+    rows = shared.cut(shared.compact(rows.select("page_id", "host", "path", "node", F.col("hit.name").alias("rule"), F.col("hit.action").alias("action"))), "urls")
     edges = shared.cut(links(pages, rules, url_col, html_col), "links")
     named = rows.select("node", "action").unionByName(edges.select(F.col("b").alias("node"), "action"))
     edges = edges.select("a", "b")

@@ -265,7 +265,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, roll_bytes:
     """Writes the archives; the paths of those that finished tasks report."""
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(shared.id_or_lowest(id_col).alias("i"), F.unhex(F.sha1(body)).alias("sha"), body.alias("t"))
-    small = shared.cut(rows.where(F.length("t") >= min_bytes).select("i", "sha"), "digests")
+    small = shared.cut(shared.compact(rows.where(F.length("t") >= min_bytes).select("i", "sha")), "digests")
     repeated = small.groupBy("sha").agg(F.max("i").alias("keeper"), F.count("*").alias("c")).where("c > 1").select("sha", "keeper")
     known = small.join(repeated, "sha").where("i < keeper").distinct()
     full = rows.join(known, ["i", "sha"], "left").select("i", "sha", "t", "keeper")
