@@ -34,7 +34,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared.ship(spark)
     gone = near_dedup.near_duplicates(docs, shingle=5).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
     docs = docs.select(*COLUMNS)
-    return shared.compact(docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bin of every piece of every document."""
     shared.ship(spark)
-    return shared.compact(packing.packed(docs.select(*COLUMNS)))
+    return packing.packed(docs.select(*COLUMNS))
 
 
 STAGES = [
