@@ -80,14 +80,21 @@ def done_signals(chunks: DataFrame) -> DataFrame:
 def resolved_todos(open_items: DataFrame, done: DataFrame, threshold: float = 0.4) -> DataFrame:
     """To-dos with resolved, resolved_by, resolved_at: the earliest later signal of the project that is similar.
 
-    Similar sets share a word, so pairs come from an equi-join on project and word; the overlap is the count
-    of joined rows. Nothing is compared with everything.
+    Of two sets of similarity t, the rarest n - ceil(t * n) + 1 words of each share one, if all rank words alike. So only these
+    are joined on, and a frequent word hardly ever; candidates are held against each other in full.
     """
-    left = open_items.select("id", "n", "project", "timestamp", F.size("tokens").alias("size"), F.explode("tokens").alias("w"))
-    right = done.select(F.col("id").alias("by"), F.col("n").alias("by_n"), "project", F.col("timestamp").alias("at"), F.size("tokens").alias("by_size"), F.explode("tokens").alias("w"))
-    pairs = left.join(right, ["project", "w"]).where(F.col("at") > F.col("timestamp"))
-    overlap = pairs.groupBy("id", "n", "by", "by_n", "at", "size", "by_size").agg(F.count("*").alias("c"))
-    similar = overlap.where(F.col("c") / (F.col("size") + F.col("by_size") - F.col("c")) >= threshold)
+    words = open_items.select(F.explode("tokens").alias("w")).unionByName(done.select(F.explode("tokens").alias("w"))).groupBy("w").agg(F.count("*").alias("c"))
+
+    def rare(rows: DataFrame, key: list[str]) -> DataFrame:
+        ranked = rows.select(*key, "project", F.explode("tokens").alias("w")).join(words, "w").groupBy(*key, "project").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("r"))
+        take = F.size("r") - F.ceil(F.size("r") * threshold - 1e-9).cast("int") + 1
+        return ranked.select(*key, "project", F.explode(F.slice("r", F.lit(1), F.least(take, F.size("r")))).alias("x")).select(*key, "project", "x.w")
+
+    told = done.select(F.col("id").alias("by"), F.col("n").alias("by_n"), "project", F.col("timestamp").alias("at"), "tokens")
+    pairs = rare(open_items, ["id", "n", "timestamp"]).join(rare(told, ["by", "by_n", "at"]), ["project", "w"]).where(F.col("at") > F.col("timestamp"))
+    pairs = pairs.select("id", "n", "by", "by_n", "at").distinct()
+    both = pairs.join(open_items.select("id", "n", F.col("tokens").alias("x")), ["id", "n"]).join(told.select("by", "by_n", F.col("tokens").alias("y")), ["by", "by_n"])
+    similar = both.where(T.jaccard(F.col("x"), F.col("y")) >= threshold)
     first = similar.groupBy("id", "n").agg(F.min(F.struct("at", "by", "by_n")).alias("x"))
     out = open_items.join(first, ["id", "n"], "left")
     return out.select(*open_items.columns, F.col("x").isNotNull().alias("resolved"), F.col("x.by").alias("resolved_by"), F.col("x.at").alias("resolved_at"))
