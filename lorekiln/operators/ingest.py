@@ -7,8 +7,9 @@ timestamp, chunk_index.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lorekiln.functions import text as T
 
@@ -91,8 +92,9 @@ def summaries(exchanges: DataFrame) -> DataFrame:
 
 
 def new_rows(chunks: DataFrame, store: DataFrame, refresh: bool = False) -> DataFrame:
-    """What an append writes: rows whose id isn't in the store; the first of repeated ids. refresh: changed rows as well."""
-    chunks = chunks.dropDuplicates(["id"])
+    """What an append writes: rows whose id isn't in the store; of repeated ids the earliest by time, place and content. refresh: changed rows as well."""
+    order = F.struct(*[c for c in ("timestamp", "chunk_index", "content") if c in chunks.columns])
+    chunks = chunks.groupBy("id").agg(F.min_by(F.struct(*[F.col(c) for c in chunks.columns]), order).alias("_row")).select("_row.*")
     if not refresh:
         return chunks.join(store.select("id"), "id", "left_anti")
     return chunks.join(store.select("id", F.col("content").alias("_old")), "id", "left").where("_old IS NULL OR _old <> content").drop("_old")
@@ -105,18 +107,24 @@ def ingest_stats(chunks: DataFrame, store: DataFrame) -> DataFrame:
     return by.agg(F.count_if(F.col("added") > 0).alias("sessions_ingested"), F.coalesce(F.sum("added"), F.lit(0).cast("long")).alias("chunks_added"), F.count_if(F.col("added").isNull()).alias("sessions_skipped"))
 
 
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of a store, with the types they were written with; empty where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def append(chunks: DataFrame, path: str, refresh: bool = False) -> int:
-    """Appends to a store in Parquet, partitioned by project; the number of rows that it added. First write wins."""
-    spark = chunks.sparkSession
-    try:
-        store = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        store = spark.createDataFrame([], chunks.schema)
+    """Appends to a store in Parquet; the number of rows that it added. First write wins.
+
+    Files are dealt into folders by `in_project`, a copy of project: the column itself stays in the files, so that "007", an
+    empty or a null project come back as they were.
+    """
     if refresh:
         raise ValueError("a store of files is only appended to; use lifecycle.rewrite for changed rows")
-    new = new_rows(chunks, store)
-    before = store.count()
-    new.write.mode("append").partitionBy("project").parquet(path)
-    return spark.read.parquet(path).count() - before
+    added = Observation()
+    new = new_rows(chunks, stored(chunks.sparkSession, path, chunks.schema)).select(chunks.columns)
+    new = new.observe(added, F.count(F.lit(1)).alias("n")).withColumn("in_project", F.col("project"))
+    new.write.mode("append").partitionBy("in_project").parquet(path)
+    return added.get["n"]
