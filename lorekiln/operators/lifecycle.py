@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions import text as T
@@ -106,16 +106,38 @@ def daily_digest(sessions: DataFrame) -> DataFrame:
     return rows.groupBy("date").agg(F.concat(F.lit("# "), F.first("date"), F.lit("\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("session_id", "line"))), lambda x: x["line"]), "\n")).alias("digest"))
 
 
-def transcript(exchanges: DataFrame, ends: int = 30, most: int = 2000) -> DataFrame:
-    """session_id, transcript: of more than 2 * ends exchanges the first and last, each cut by bytes."""
+def transcript(exchanges: DataFrame, ends: int = 30, most: int = 2000, total: int = 800_000) -> DataFrame:
+    """session_id, transcript: of more than 2 * ends exchanges the first and last, each cut by bytes, and so is the whole."""
     w = Window.partitionBy("session_id")
     rows = exchanges.withColumn("_n", F.row_number().over(w.orderBy("n"))).withColumn("_c", F.count("*").over(w))
     rows = rows.where((F.col("_c") <= 2 * ends) | (F.col("_n") <= ends) | (F.col("_n") > F.col("_c") - ends))
     role = F.when(F.col("role") == "human", "User").when(F.col("role") == "assistant", "Assistant").otherwise(F.initcap("role"))
     gap = F.when((F.col("_c") > 2 * ends) & (F.col("_n") == ends), F.concat(F.lit("\n\n*["), (F.col("_c") - 2 * ends).cast("string"), F.lit(" exchanges omitted]*"))).otherwise("")
     part = F.concat(F.lit("### "), role, F.lit("\n\n"), T.utf8_truncate(F.col("content"), most), gap)
-    return rows.select("session_id", "_n", part.alias("p")).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "p"))), lambda x: x["p"]), "\n\n").alias("transcript"))
+    by = rows.select("session_id", "_n", part.alias("p")).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "p"))), lambda x: x["p"]), "\n\n").alias("whole"))
+    return by.select("session_id", F.when(F.octet_length("whole") > total, T.utf8_truncate(F.col("whole"), total)).otherwise(F.col("whole")).alias("transcript"))
 
 
 def recent(rows: DataFrame, keep: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(keep)
+
+
+INJECTION = "timestamp string, prompt string, project string, session_id string, chunk_ids array<string>"
+LOG_LINES, LOG_BYTES = 1000, 256 * 1024
+
+
+def injections(spark: SparkSession, path: str) -> DataFrame:
+    """What was injected, from a log of JSON lines; lines that can't be read are passed over."""
+    return spark.read.schema(INJECTION).option("mode", "DROPMALFORMED").json(path)
+
+
+def log_injections(rows: DataFrame, path: str) -> None:
+    rows.select("timestamp", "prompt", "project", "session_id", "chunk_ids").write.mode("append").json(path)
+
+
+def pruned_injections(spark: SparkSession, path: str, keep: int = LOG_LINES, least: int = LOG_BYTES) -> DataFrame:
+    """The log without all but its newest lines, once it takes `least` bytes; a smaller one as it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    rows = injections(spark, path)
+    return recent(rows, keep, F.desc("timestamp"), F.col("session_id"), F.col("prompt")) if size >= least else rows
