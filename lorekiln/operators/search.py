@@ -28,7 +28,7 @@ def phrases(spark, query: str) -> list[list[str]]:
     parts = query.split()
     if not parts:
         return []
-    row = spark.range(1).select(F.transform(F.array(*map(F.lit, parts)), T.terms).alias("p")).first()
+    row = spark.sql("SELECT 1").select(F.transform(F.array(*map(F.lit, parts)), T.terms).alias("p")).first()
     return [list(p) for p in row.p if p]
 
 
@@ -51,14 +51,22 @@ def keyword_scores(rows: DataFrame, query: str, **filters: str | None) -> DataFr
     score = F.lit(0.0)
     for k in range(len(wanted)):
         nk = figure(f"n{k}")
-        idf = F.log((n - nk + 0.5) / (nk + 0.5))
-        idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-        tf = F.col(f"_f{k}").cast("double")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / avgdl))
+        score = score + gain(n, nk, F.col(f"_f{k}").cast("double"), F.col("_dl"), avgdl)
     return hits.withColumn("bm25", -score).select(*rows.columns, "bm25")
 
 
-def keyword(rows: DataFrame, query: str, k: int = 10, **filters: str | None) -> DataFrame:
+def gain(n: Column, having: Column, tf: Column, length: Column, mean: Column) -> Column:
+    """What one phrase adds to a row's score."""
+    idf = F.log((n - having + 0.5) / (having + 0.5))
+    return F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def keyword(rows: DataFrame, query: str, k: int = 10, index: str | None = None, **filters: str | None) -> DataFrame:
+    """The best k rows that have every phrase, from the rows' texts, or from a stored index of them."""
+    if index:
+        from lorekiln.operators import index as stored
+
+        return rows.join(F.broadcast(stored.keyword(rows.sparkSession, index, query, k, **filters)), "id")  # k rows
     return keyword_scores(rows, query, **filters).orderBy("bm25", "id").limit(k)
 
 
@@ -91,13 +99,18 @@ def normalized(value: Column, over) -> Column:
     return F.when(hi <= lo, 1.0).otherwise((value - lo) / (hi - lo))
 
 
-def hybrid(rows: DataFrame, query: str, vector: list[float], k: int = 5, weight: float = 0.5, min_relevance: float = 0.0, **filters: str | None) -> DataFrame:
+def hybrid(rows: DataFrame, query: str, vector: list[float], k: int = 5, weight: float = 0.5, min_relevance: float = 0.0, index: str | None = None, **filters: str | None) -> DataFrame:
     """Both sides' best max(3k, 10), each normalised over its own frame, joined by id. The windows go over those rows only."""
     fetch = max(3 * k, 10)
     every = Window.partitionBy()
     near = semantic(rows, vector, fetch, min_relevance, **filters)
     near = near.select("id", "distance", normalized(1 - F.col("distance"), every).alias("sem_score"), F.row_number().over(Window.orderBy("distance", "id")).alias("sem_rank"))
-    said = keyword(rows, query, fetch, **filters)
+    if index:
+        from lorekiln.operators import index as stored
+
+        said = stored.keyword(rows.sparkSession, index, query, fetch, **filters)
+    else:
+        said = keyword(rows, query, fetch, **filters)
     said = said.select("id", "bm25", normalized(-F.col("bm25"), every).alias("kw_score"), F.row_number().over(Window.orderBy("bm25", "id")).alias("kw_rank"))
     both = near.join(said, "id", "full_outer").fillna(0.0, ["sem_score", "kw_score"])
     both = both.withColumn("score", weight * F.col("sem_score") + (1 - weight) * F.col("kw_score"))
@@ -124,13 +137,13 @@ def deduped(hits: DataFrame, rank: list[Column]) -> DataFrame:
     return hits.withColumn("_key", T.dedup_key(F.col("content"))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
 
 
-def search(rows: DataFrame, query: str, vector: list[float] | None = None, mode: str = "hybrid", k: int = 5, min_relevance: float = 0.0, weight: float = 0.5, now: str | None = None, half_life: float = 30.0, **filters: str | None) -> DataFrame:
+def search(rows: DataFrame, query: str, vector: list[float] | None = None, mode: str = "hybrid", k: int = 5, min_relevance: float = 0.0, weight: float = 0.5, now: str | None = None, half_life: float = 30.0, index: str | None = None, **filters: str | None) -> DataFrame:
     if mode == "semantic":
         hits = semantic(rows, vector, k, min_relevance, **filters)
     elif mode == "keyword":
-        hits = keyword(rows, query, k, **filters).withColumn("distance", F.lit(None).cast("double"))
+        hits = keyword(rows, query, k, index, **filters).withColumn("distance", F.lit(None).cast("double"))
     elif mode == "hybrid":
-        hits = hybrid(rows, query, vector, k, weight, min_relevance, **filters)
+        hits = hybrid(rows, query, vector, k, weight, min_relevance, index, **filters)
     else:
         raise ValueError(f"mode {mode!r} is none of semantic, keyword, hybrid")
     return decayed(hits, now, k, half_life) if now else hits
@@ -150,13 +163,13 @@ def checked(query: str, project: str = "", source: str = "", top_k: object = 5)
     return query, project, source, min(max(k, 1), 50)
 
 
-def lite(rows: DataFrame, query: str, vector: list[float], now: str, k: int = 10) -> DataFrame:
+def lite(rows: DataFrame, query: str, vector: list[float], now: str, k: int = 10, index: str | None = None) -> DataFrame:
     """id, preview, decayed."""
-    hits = search(rows, query, vector, k=k, min_relevance=0.25, now=now)
+    hits = search(rows, query, vector, k=k, min_relevance=0.25, now=now, index=index)
     return deduped(hits, [F.desc("decayed"), F.col("id")]).select("id", T.preview(F.col("content")).alias("preview"), "decayed")
 
 
-def context(rows: DataFrame, query: str, vector: list[float], session: str, k: int = 5, keep: int = 3, min_relevance: float = 0.35, most: int = 220) -> DataFrame:
+def context(rows: DataFrame, query: str, vector: list[float], session: str, k: int = 5, keep: int = 3, min_relevance: float = 0.35, most: int = 220, index: str | None = None, **filters: str | None) -> DataFrame:
     """Snippets for a prompt, none from the session that asks."""
-    hits = hybrid(rows, query, vector, k, min_relevance=min_relevance).where(F.col("session_id") != session)
-    return hits.orderBy(F.desc("score"), "id").limit(keep).select("id", "project", T.snippet(F.col("content"), most).alias("snippet"))
+    hits = hybrid(rows, query, vector, k, min_relevance=min_relevance, index=index, **filters).where(F.col("session_id") != session)
+    return hits.orderBy(F.desc("score"), "id").limit(keep).select("id", "project", "source", "timestamp", T.snippet(F.col("content"), most).alias("snippet"))

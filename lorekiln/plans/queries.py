@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions import patterns as P
 from lorekiln.functions import text as T
-from lorekiln.operators import ingest, lifecycle, mining, search
+from lorekiln.operators import index, ingest, lifecycle, mining, search, surfaces
 from lorekiln.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,10 +113,10 @@ _VECTORED = f"{V.CHUNKS_SQL}, vectored AS (SELECT chunks.*, 1 - list_cosine_simi
 QUERY = "the and"
 
 
-def _hybrid(k: int, least: float = 0.0) -> str:
+def _hybrid(k: int, least: float = 0.0, where: str = "true") -> str:
     fetch = max(3 * k, 10)
-    return f"""{_VECTORED}, {_bm25("vectored", [["the"], ["and"]])},
-near AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS sr FROM (SELECT id, distance FROM vectored ORDER BY distance, id LIMIT {fetch}) WHERE {f"1 - distance >= {least}" if least else "true"}),
+    return f"""{_VECTORED}, {_bm25("vectored", [["the"], ["and"]], where)},
+near AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS sr FROM (SELECT id, distance FROM vectored WHERE {where} ORDER BY distance, id LIMIT {fetch}) WHERE {f"1 - distance >= {least}" if least else "true"}),
 nears AS (SELECT *, CASE WHEN max(1 - distance) OVER () <= min(1 - distance) OVER () THEN 1 ELSE (1 - distance - min(1 - distance) OVER ()) / (max(1 - distance) OVER () - min(1 - distance) OVER ()) END AS s FROM near),
 said AS (SELECT id, bm25, row_number() OVER (ORDER BY bm25, id) AS kr FROM (SELECT id, bm25 FROM hits ORDER BY bm25, id LIMIT {fetch})),
 saids AS (SELECT *, CASE WHEN max(-bm25) OVER () <= min(-bm25) OVER () THEN 1 ELSE (-bm25 - min(-bm25) OVER ()) / (max(-bm25) OVER () - min(-bm25) OVER ()) END AS w FROM said),
@@ -288,7 +288,7 @@ def _fenced(spark, d):
     return V.chunks(spark, d).withColumn("content", F.concat(code, F.col("content")))
 
 
-_FENCED = """'```py' || chr(10) || array_to_string(list_transform(range(1, least(chunk_index + 3, 5)), lambda k: 'line ' || k), chr(10)) || chr(10) || CASE WHEN chunk_index + 2 > 4 THEN '  ... (truncated)' || chr(10) ELSE '' END || '```' || chr(10) || substr(content, 1, 60)"""
+_FENCED = """'```py' || chr(10) || array_to_string(list_transform(range(1, least(chunk_index + 3, 5)), lambda k: 'line ' || k), chr(10)) || chr(10) || CASE WHEN chunk_index + 2 > 4 THEN '  ... (truncated)' || chr(10) ELSE '' END || '```' || chr(10) || content"""
 
 
 @query(f"WITH {V.CHUNKS_SQL} SELECT id, {_FENCED} AS text FROM chunks")
@@ -334,17 +334,17 @@ def semantic_topk(spark, d):
 
 @query(f"WITH {V.CHUNKS_SQL}, {_bm25('chunks', [['the'], ['and']])} SELECT id, round(bm25, 8) AS bm25 FROM hits ORDER BY hits.bm25, id LIMIT 20")
 def keyword_bm25(spark, d):
-    return search.keyword(V.chunks(spark, d), QUERY, 20).select("id", F.round("bm25", 8).alias("bm25"))
+    return index.keyword(spark, V.index(spark, d), QUERY, 20).select("id", F.round("bm25", 8).alias("bm25"))
 
 
 @query(f"WITH {V.CHUNKS_SQL}, {_bm25('chunks', [['of', 'the'], ['and']], where=chr(39) + 'en' + chr(39) + ' = project')} SELECT id, round(bm25, 8) AS bm25 FROM hits ORDER BY hits.bm25, id LIMIT 20")
 def keyword_phrase(spark, d):
-    return search.keyword(V.chunks(spark, d), "of-the ... AND", 20, project="en").select("id", F.round("bm25", 8).alias("bm25"))
+    return index.keyword(spark, V.index(spark, d), "of-the ... AND", 20, project="en").select("id", F.round("bm25", 8).alias("bm25"))
 
 
 @query(f"WITH {_hybrid(5)} SELECT id, round(distance, 6) AS distance, round(s, 6) AS sem_score, round(w, 6) AS kw_score, round(score, 6) AS score FROM fused")
 def hybrid_fusion(spark, d):
-    hits = search.hybrid(_vectored(spark, d), QUERY, _vector(spark, d), 5)
+    hits = search.hybrid(_vectored(spark, d), QUERY, _vector(spark, d), 5, index=V.index(spark, d, vectored=True))
     return hits.select("id", *[F.round(c, 6).alias(c) for c in ("distance", "sem_score", "kw_score", "score")])
 
 
@@ -358,7 +358,7 @@ _AGE = f"greatest((epoch_us(TIMESTAMP '{V.NOW}') - epoch_us(replace(timestamp, '
 
 @query(f"WITH {_hybrid(5)} SELECT id, round(score * exp(-{_AGE} / 30.0), 12) AS decayed FROM fused JOIN chunks USING (id)")
 def time_decay(spark, d):
-    hits = search.search(_vectored(spark, d), QUERY, _vector(spark, d), now=V.NOW)
+    hits = search.search(_vectored(spark, d), QUERY, _vector(spark, d), now=V.NOW, index=V.index(spark, d, vectored=True))
     return hits.select("id", F.round("decayed", 12).alias("decayed"))
 
 
@@ -377,12 +377,61 @@ def search_lite_preview(spark, d):
 
 @query(f"WITH {_hybrid(10, 0.25)}, kept AS (SELECT *, score * exp(-{_AGE} / 30.0) AS decayed, {_KEY} AS key FROM fused JOIN chunks USING (id)) SELECT arg_min(id, (-decayed, id)) AS id, round(max(decayed), 12) AS decayed FROM kept GROUP BY key")
 def search_lite(spark, d):
-    return search.lite(_vectored(spark, d), QUERY, _vector(spark, d), V.NOW).select("id", F.round("decayed", 12).alias("decayed"))
+    return search.lite(_vectored(spark, d), QUERY, _vector(spark, d), V.NOW, index=V.index(spark, d, vectored=True)).select("id", F.round("decayed", 12).alias("decayed"))
 
 
 @query(f"WITH {_hybrid(5, 0.35)} SELECT id FROM fused JOIN chunks USING (id) WHERE session_id <> 's0' ORDER BY score DESC, id LIMIT 3")
 def exclude_session(spark, d):
-    return search.context(_vectored(spark, d), QUERY, _vector(spark, d), "s0").select("id")
+    return search.context(_vectored(spark, d), QUERY, _vector(spark, d), "s0", index=V.index(spark, d, vectored=True)).select("id")
+
+
+# --- what callers are shown ------------------------------------------------------------------------
+
+_META = "concat_ws(' | ', project, source, nullif(git_branch, ''), substr(timestamp, 1, 10))"
+_OPTIMAL = _strip("regexp_replace(content, chr(10) || chr(10) || chr(10) || chr(43), chr(10) || chr(10), chr(103))")
+
+
+def _shown(k: int, rank: str = "score", where: str = "true") -> str:
+    return f"""WITH {_hybrid(k, 0.25, where)}, found AS (SELECT chunks.*, fused.distance, {rank} AS v, {_OPTIMAL} AS t FROM fused JOIN chunks USING (id)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY v DESC, id) AS r FROM found) WHERE r = 1)
+SELECT id, row_number() OVER (ORDER BY v DESC, id) AS place, round((1 - distance) * 100)::INTEGER AS relevance, {_META} AS meta, md5(CASE WHEN length(t) > 600 THEN substr(t, 1, 600) || '...' ELSE t END) AS text FROM one"""
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.withColumn("text", F.md5("text"))
+
+
+@query(_shown(5))
+def search_full(spark, d):
+    return _told(surfaces.full(_vectored(spark, d), QUERY, _vector(spark, d), index=V.index(spark, d, vectored=True)))
+
+
+@query(_shown(8, f"score * exp(-{_AGE} / 30.0)", "project = 'de'"))
+def project_context(spark, d):
+    return _told(surfaces.project_context(_vectored(spark, d), "de", _vector(spark, d), V.NOW, topic=QUERY, index=V.index(spark, d, vectored=True)))
+
+
+@query(_shown(10))
+def cross_reference(spark, d):
+    return _told(surfaces.cross_reference(_vectored(spark, d), QUERY, _vector(spark, d), index=V.index(spark, d, vectored=True)))
+
+
+@query(f"WITH {_hybrid(5)} SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place, array_to_string(string_split(substr(content, 1, 400), chr(10))[1:8], chr(10)) AS text FROM fused JOIN chunks USING (id)")
+def search_terminal(spark, d):
+    return surfaces.terminal(_vectored(spark, d), QUERY, _vector(spark, d), index=V.index(spark, d, vectored=True))
+
+
+_SNIP = _strip("replace(content, chr(10), chr(32))")
+
+
+@query(f"WITH {_hybrid(5, 0.35, chr(39) + 'en' + chr(39) + ' = project')}, s AS (SELECT *, {_SNIP} AS t FROM fused JOIN chunks USING (id) WHERE session_id <> 's0') SELECT id, '- [' || project || ' · ' || source || ' · ' || substr(timestamp, 1, 10) || '] ' || CASE WHEN length(t) > 220 THEN substr(t, 1, 220) || '…' ELSE t END AS line FROM s ORDER BY score DESC, id LIMIT 3")
+def prompt_context(spark, d):
+    return surfaces.prompt_context(_vectored(spark, d), "  the    and ", "/home/me/en/", "s0", _vector(spark, d), V.index(spark, d, vectored=True))
+
+
+@query(f"WITH {_hybrid(5, 0.3)}, s AS (SELECT *, {_SNIP} AS t FROM fused JOIN chunks USING (id) WHERE session_id <> 's1') SELECT id, project, source, timestamp, CASE WHEN length(t) > 220 THEN substr(t, 1, 220) || '…' ELSE t END AS snippet FROM s ORDER BY score DESC, id LIMIT 3")
+def file_context(spark, d):
+    return surfaces.file_context(_vectored(spark, d), "/src/the and", "s1", _vector(spark, d), V.index(spark, d, vectored=True))
 
 
 # --- mining ----------------------------------------------------------------------------------------
@@ -479,6 +528,12 @@ def todo_open_newest(spark, d):
     return out.select("id", F.col("n").cast("long").alias("pos"))
 
 
+@query(f"{_RESOLVED} SELECT project, count(*) FILTER (x IS NULL) AS open_items, count(*) FILTER (x IS NOT NULL) AS resolved_items FROM kept LEFT JOIN first USING (id, pos) GROUP BY project")
+def todo_counts(spark, d):
+    rows = V.cued(spark, d)
+    return surfaces.todo_counts(mining.resolved_todos(mining.todos(rows), mining.done_signals(rows)))
+
+
 _SHOWN_RULE = f"(CASE WHEN trim(rtrim({_strip('CASE WHEN instr(m, body) > 0 THEN substr(m, 1, instr(m, body) - 1) ELSE m END')}, ':')) <> '' THEN rtrim({_strip('CASE WHEN instr(m, body) > 0 THEN substr(m, 1, instr(m, body) - 1) ELSE m END')}, ':') || ' ' || body ELSE body END)"
 
 
@@ -517,12 +572,12 @@ def decision_mining(spark, d):
 
 
 @query(f"WITH {V.CHUNKS_SQL} SELECT project AS name, count(*) AS chunks, count(DISTINCT session_id) AS sessions FROM chunks GROUP BY project")
-def vault_stats_project(spark, d):
+def stats_by_project(spark, d):
     return lifecycle.stats(V.chunks(spark, d)).where("kind = 'project'").drop("kind")
 
 
 @query(f"WITH {V.CHUNKS_SQL} SELECT source AS name, count(*) AS chunks, count(DISTINCT session_id) AS sessions FROM chunks GROUP BY source")
-def vault_stats_source(spark, d):
+def stats_by_source(spark, d):
     return lifecycle.stats(V.chunks(spark, d)).where("kind = 'source'").drop("kind")
 
 

@@ -5,9 +5,15 @@ What the tables lack (projects, branches, times) follows from ids by arithmetic
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekiln.operators import index as stored
+
 EPOCH = 1_704_067_200  # 2024-01-01
 SOURCES = ("alpha", "beta", "gamma", "delta", "epsilon")
 NOW = "2025-06-01T00:00:00"
@@ -40,6 +46,31 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_indexes: dict[tuple[str, str, bool], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, vectored: bool = False) -> str:
+    """The stored index of the chunks, or of those that have a vector, as ingest keeps it: built at an application's first search, in the shared folder, gone when it ends."""
+    sc = spark.sparkContext
+    key = (sc.applicationId, sf_dir, vectored)
+    if key not in _indexes:
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
+            base = sc.getCheckpointDir()
+        path = f"{base.rstrip('/')}/lorekiln/index-{uuid.uuid4().hex}"
+        rows = chunks(spark, sf_dir)
+        if vectored:
+            rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id")), "id", "left_semi")
+        stored.write(rows, path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        _indexes[key] = path
+    return _indexes[key]
+
+
 def cued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole chunks after one of the phrases, and every third after a second."""
     d = F.col("id").cast("long")
@@ -73,7 +104,7 @@ CHUNKS_SQL = f"""chunks AS (
   FROM documents)"""
 CUED_SQL = f"""{CHUNKS_SQL}, cued AS (
   SELECT * REPLACE (({quoted(CUES)})[id::BIGINT % {len(CUES)} + 1] || CASE WHEN id::BIGINT % 3 = 0 THEN ({quoted(CUES)})[(id::BIGINT * 7 + 3) % {len(CUES)} + 1] ELSE '' END
-    || regexp_replace(substr(content, 1, 90), '[^A-Za-z]+', ' ', 'g') || 'end' AS content) FROM chunks)"""
+    || content AS content) FROM chunks)"""
 EXCHANGES_SQL = f"""exchanges AS (
   SELECT 'c' || conv_id AS session_id, ({quoted(SOURCES)})[conv_id % 5 + 1] AS source, 'proj-' || (conv_id % 7) AS project, CASE conv_id % 2 WHEN 0 THEN 'main' ELSE '' END AS git_branch,
          {_iso_sql(f"{EPOCH} + conv_id * 86400")} AS started_at, turn AS n, CASE role WHEN 'user' THEN 'human' ELSE role END AS role, text AS content,

@@ -1,6 +1,5 @@
 """Queries over whole documents: what stands far behind the first characters counts."""
 
-import os
 import re
 
 import pytest
@@ -8,11 +7,6 @@ from lorekiln.functions import patterns as P
 from lorekiln.plans import views as V
 from lorekiln.plans.queries import ORACLES, QUERIES
 
-from tests.test_catalogue import SF, duck, norm  # noqa: F401
-
-#: The SQL of the queries on views.cued reads 90 characters of a text; here it reads all.
-CUT = "regexp_replace(substr(content, 1, 90), '[^A-Za-z]+', ' ', 'g') || 'end'"
-CUED = sorted(k for k, v in ORACLES.items() if CUT in v)
 FILL = "Lorem 1, ipsum 2: dolor; sit amet.\n" * 20
 TEXTS = [
     FILL + "Later the build 42 failed with error E77 in module alpha.\r\n\tTODO: rotate the signing keys, v2. Then rest.\nWe decided to keep port 8080 open. Next.",
@@ -68,18 +62,11 @@ def test_todos_rules_and_decisions_behind_the_first_characters_are_found(spark,
     assert any(x.endswith("We decided to keep port 8080 open.") for x in said) and any(x.endswith("the plan is monthly cuts") for x in said)
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
-@pytest.mark.parametrize("name", CUED)
-def test_equals_sql_over_whole_texts(spark, duck, name):  # noqa: F811
-    df = QUERIES[name](spark, SF)
-    found = duck.execute(ORACLES[name].replace(CUT, "content"))
-    names = [x[0] for x in found.description]
-    want = sorted(tuple(norm(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall())
-    assert sorted(tuple(norm(r[c]) for c in sorted(df.columns)) for r in df.collect()) == want
+def test_no_sql_cuts_what_it_reads():
+    """That queries and SQL agree over whole texts is `test_equals_sql` of the catalogue."""
+    assert not [k for k, v in ORACLES.items() if re.search(r"substr\(content, 1, (60|90)\)", v)]
 
 
-#: The SQL of the two queries on fenced texts reads 60 characters of a text.
-FENCED_CUT = "|| substr(content, 1, 60)"
 FENCES = "a\n\n\n\nb" * 20 + "\n[Tools used: Read]\n```sql\n" + "\n".join(f"row {k}" for k in range(9)) + "\n```\n**Assistant**: [Used tools: Bash]\nlast  \n\n\n"
 
 
@@ -106,14 +93,6 @@ def test_fences_and_noise_behind_the_first_characters_are_met(spark, tmp_path):
     assert {r.id: r.text for r in QUERIES["optimize_content"](spark, str(tmp_path)).collect()} == {i: re.sub(r"\n{3,}", "\n\n", shortened(t + "\n \n")).strip() for i, t in quiet.items()}
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
-@pytest.mark.parametrize("name", ["truncate_code", "optimize_content"])
-def test_equals_sql_over_whole_fenced_texts(spark, duck, name):  # noqa: F811
-    assert duck.execute("SELECT count(*) FROM documents WHERE contains(text, '```')").fetchone() == (0,)  # else the SQL isn't exact
-    want = {r[0]: r[1] for r in duck.execute(ORACLES[name].replace(FENCED_CUT, "|| content")).fetchall()}
-    assert {r.id: r.text for r in QUERIES[name](spark, SF).collect()} == want
-
-
 def test_transcripts_keep_what_the_reference_keeps(spark, tmp_path):
     import hashlib
 
