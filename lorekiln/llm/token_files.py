@@ -39,14 +39,12 @@ _loaded: dict[str, object] = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer of a file, once for each worker process; its special strings are ordinary text."""
+    """The tokenizer of a file as the library loads it, once for each worker process."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
-        _loaded[path] = made
+        _loaded[path] = Tokenizer.from_file(path)
     return _loaded[path]
 
 
@@ -82,10 +80,13 @@ class Encoder:
         top = max(self.made.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
         self.width = 2 if top < 1 << 16 else 4
         form = json.loads(self.made.to_str())
+        added = [x["content"] for x in form.get("added_tokens", [])]
         cut, model = form.get("pre_tokenizer") or {}, form["model"]
-        plain = not form.get("normalizer") and not form.get("truncation") and not form.get("padding") and not model.get("dropout") and all(x["special"] for x in form.get("added_tokens", []))
+        plain = not form.get("normalizer") and not form.get("truncation") and not form.get("padding") and not model.get("dropout") and not any(re.search(r"\s", x) for x in added)
         self.by_pieces = plain and model["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        # texts with an added token's string go to the library whole as well: it is cut out before all else
         self.split, self.unusual = re.compile(pieces()).findall, re.compile(f"[^{USUAL}]").search
+        self.added = added
         self.memo: dict[str, bytes] = {}
         self.between = self.made.encode("\n", add_special_tokens=False).ids if self.by_pieces else []
         self.by_pieces = len(self.between) == 1
@@ -112,7 +113,7 @@ class Encoder:
         """The ids of each text, as they are stored."""
         if not self.by_pieces:
             return self._raw(texts)
-        out = [None if self.unusual(t) else self.split(t) for t in texts]
+        out = [None if self.unusual(t) or any(x in t for x in self.added) else self.split(t) for t in texts]
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
         self._learn(set().union(*[x for x in out if x]).difference(self.memo))

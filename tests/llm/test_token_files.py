@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -29,6 +30,19 @@ def test_pieces_encode_like_whole_texts(monkeypatch):
             assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables aren't here")
+def test_every_document_encodes_as_the_library_does():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += [f"a{x}b {x}\n{x}" for x in ("<|endoftext|>", "<|endoftext|", "|endoftext|>")] + ODD
+    made = token_files.Encoder(PATH, 2)
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in made.encode(texts)] == want
+    assert any(50256 in x for x in want)
+
+
 @pytest.fixture
 def many_partitions(spark):
     name = "spark.sql.adaptive.coalescePartitions.enabled"
