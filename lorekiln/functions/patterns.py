@@ -21,6 +21,9 @@ SECRETS = (
     r"(?i)(secret|key|token)\s*[:=]\s*['\"]?[0-9a-f]{32,}['\"]?",
 )
 REDACTED = "[REDACTED]"
+#: Each secret pattern needs one of these, as it is or in any case.
+SECRET_MARKS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "sk-", "-----BEGIN", "://", "eyJ")
+SECRET_MARKS_ANY_CASE = ("key", "bearer", "passw", "secret", "token")
 
 # fixed values: paths that hold secrets, in lower case
 SENSITIVE_PATHS = (r"\.env($|\.)", r"credentials", r"\.pem$", r"\.key$", r"\.p12$", r"\.pfx$", r"service.account", r"secret")

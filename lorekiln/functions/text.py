@@ -17,8 +17,10 @@ def strip(c: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """Every secret pattern in turn."""
-    return reduce(lambda x, p: F.regexp_replace(x, p, P.REDACTED.replace("$", r"\$")), P.SECRETS, c)
+    """Every secret pattern in turn, over texts that have one of the literals without which none of them matches; others are as they were."""
+    small = F.lower(c)
+    may = reduce(lambda a, b: a | b, [c.contains(x) for x in P.SECRET_MARKS] + [small.contains(x) for x in P.SECRET_MARKS_ANY_CASE])
+    return F.when(may, reduce(lambda x, p: F.regexp_replace(x, p, P.REDACTED.replace("$", r"\$")), P.SECRETS, c)).otherwise(c)
 
 
 def is_sensitive_path(c: Column) -> Column:

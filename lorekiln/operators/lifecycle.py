@@ -107,14 +107,21 @@ def daily_digest(sessions: DataFrame) -> DataFrame:
 
 
 def transcript(exchanges: DataFrame, ends: int = 30, most: int = 2000, total: int = 800_000) -> DataFrame:
-    """session_id, transcript: of more than 2 * ends exchanges the first and last, each cut by bytes, and so is the whole."""
+    """session_id, transcript: what people and assistants said, without secrets.
+
+    Of more than 2 * ends exchanges, of whatever role, the first and last; each is cut by bytes, and so is the whole. Exchanges of
+    other roles count but aren't shown. A session of which nothing is shown has an empty transcript.
+    """
     w = Window.partitionBy("session_id")
     rows = exchanges.withColumn("_n", F.row_number().over(w.orderBy("n"))).withColumn("_c", F.count("*").over(w))
     rows = rows.where((F.col("_c") <= 2 * ends) | (F.col("_n") <= ends) | (F.col("_n") > F.col("_c") - ends))
-    role = F.when(F.col("role") == "human", "User").when(F.col("role") == "assistant", "Assistant").otherwise(F.initcap("role"))
-    gap = F.when((F.col("_c") > 2 * ends) & (F.col("_n") == ends), F.concat(F.lit("\n\n*["), (F.col("_c") - 2 * ends).cast("string"), F.lit(" exchanges omitted]*"))).otherwise("")
-    part = F.concat(F.lit("### "), role, F.lit("\n\n"), T.utf8_truncate(F.col("content"), most), gap)
-    by = rows.select("session_id", "_n", part.alias("p")).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "p"))), lambda x: x["p"]), "\n\n").alias("whole"))
+    tools = F.when((F.col("role") == "assistant") & (F.size("tools") > 0), F.concat(F.lit("\n> Tools: "), F.array_join("tools", ", "))).otherwise("")
+    head = F.when(F.col("role") == "human", "### You").when(F.col("role") == "assistant", F.concat(F.lit("### Assistant"), tools))
+    rows = rows.withColumn("_s", T.redact(F.coalesce("content", F.lit(""))))
+    said = F.concat(head, F.lit("\n"), T.utf8_truncate(F.col("_s"), most))  # null for other roles
+    gap = F.when((F.col("_c") > 2 * ends) & (F.col("_n") == ends), F.concat(F.lit("*["), (F.col("_c") - 2 * ends).cast("string"), F.lit(" exchanges omitted; full content in the store]*")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_n", "p"))), lambda x: x["p"])
+    by = rows.select("session_id", "_n", F.array_compact(F.array(said, gap)).alias("p")).groupBy("session_id").agg(F.array_join(F.flatten(parts), "\n\n---\n\n").alias("whole"))
     return by.select("session_id", F.when(F.octet_length("whole") > total, T.utf8_truncate(F.col("whole"), total)).otherwise(F.col("whole")).alias("transcript"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,8 +103,8 @@ def latest_todos(found: DataFrame, only_open: bool = True, n: int = 50) -> DataF
     return found.orderBy(F.desc("timestamp"), "id", "n").limit(n)
 
 
-def decisions(chunks: DataFrame, most: int = 300, key: int = 100) -> DataFrame:
-    """n, text: sentences that hold a decision, the first of each session that begins alike.
+def decision_sentences(chunks: DataFrame, most: int = 300, also: tuple[str, ...] = ()) -> DataFrame:
+    """n, text: every sentence that holds a decision, as often as one stands in it.
 
     A mark put in front of every match tells where matches start; a sentence runs from the ". " before
     that place to the ". " after it.
@@ -124,13 +122,18 @@ def decisions(chunks: DataFrame, most: int = 300, key: int = 100) -> DataFrame:
         return T.strip(F.concat(begun, F.when(F.instr(rest, ". ") > 0, F.substring(rest, F.lit(1), F.instr(rest, ". "))).otherwise(rest)))
 
     rows = chunks.where(content.rlike(_any(P.DECISIONS)))
-    found = rows.select(*CHUNK, F.posexplode(F.flatten(F.array(*map(sentences, P.DECISIONS)))).alias("n", "text")).where("text <> ''")
-    found = found.withColumn("text", F.when(F.length("text") > most, F.concat(F.substring("text", 1, most), F.lit("..."))).otherwise(F.col("text")))
+    found = rows.select(*CHUNK, *also, F.posexplode(F.flatten(F.array(*map(sentences, P.DECISIONS)))).alias("n", "text")).where("text <> ''")
+    return found.withColumn("text", F.when(F.length("text") > most, F.concat(F.substring("text", 1, most), F.lit("..."))).otherwise(F.col("text")))
+
+
+def decisions(chunks: DataFrame, most: int = 300, key: int = 100) -> DataFrame:
+    """n, text: sentences that hold a decision, the first of each session that begins alike."""
+    found = decision_sentences(chunks, most)
     w = Window.partitionBy("session_id", F.substring(F.lower("text"), 1, key)).orderBy("timestamp", "id", "n")
     return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-CLUSTERED = "cluster int, example string, session_count int, sessions array<string>, projects array<string>, sources array<string>, first_seen string, last_seen string, chunk_ids array<string>, examples array<string>"
+CLUSTERED = "cluster int, example string, fingerprint string, session_count int, sessions array<string>, projects array<string>, sources array<string>, first_seen string, last_seen string, chunk_ids array<string>, examples array<string>"
 
 
 def clusters(signals: DataFrame, threshold: float, min_sessions: int = 3, top: int = 20) -> DataFrame:
@@ -166,7 +169,7 @@ def clusters(signals: DataFrame, threshold: float, min_sessions: int = 3, top: i
         for c, rows in enumerate(members):
             some = lambda name: sorted({getattr(x, name) for x in rows if getattr(x, name)})  # noqa: E731, B023
             sessions, times = some("session_id"), some("timestamp")
-            out.append((c, rows[0].text, len(sessions), sessions, some("project"), some("source"), min(times, default=""), max(times, default=""), [x.id for x in rows], list(dict.fromkeys(x.text for x in rows))[:5]))
+            out.append((c, rows[0].text, " ".join(sorted(centres[c])), len(sessions), sessions, some("project"), some("source"), min(times, default=""), max(times, default=""), [x.id for x in rows], list(dict.fromkeys(x.text for x in rows))[:5]))
         return pd.DataFrame(out, columns=[x.split()[0] for x in CLUSTERED.split(", ")])
 
     rows = signals.select(*CHUNK, "n", "text", "tokens").fillna("", list(CHUNK))
@@ -180,8 +183,3 @@ def recurring_problems(chunks: DataFrame, min_sessions: int = 3, top: int = 20)
 
 def recurring_rules(chunks: DataFrame, min_sessions: int = 3, top: int = 20) -> DataFrame:
     return clusters(distinct_in_chunk(rules(chunks), 0.4), 0.4, min_sessions, top)
-
-
-def formatted(rows: DataFrame, *parts: Column) -> DataFrame:
-    """One `- ...` line a row."""
-    return rows.select(reduce(lambda a, b: F.concat(a, b), parts, F.lit("- ")).alias("line"))

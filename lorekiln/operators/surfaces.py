@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions import text as T
-from lorekiln.operators import search
+from lorekiln.operators import lifecycle, mining, search
 
 MIN_RELEVANCE = 0.25
 #: Prompts that ask for nothing.
@@ -98,36 +98,90 @@ def todo_counts(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("project").agg(F.count_if(~F.col("resolved")).alias("open_items"), F.count_if("resolved").alias("resolved_items"))
 
 
+def _day(time: str, none: str = "?") -> Column:
+    return F.when(F.coalesce(time, F.lit("")) != "", F.substring(time, 1, 10)).otherwise(none)
+
+
+def _known(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit("?"))
+
+
 def todo_lines(resolved: DataFrame, n: int = 50) -> DataFrame:
-    """line: the newest to-dos, open ones to be ticked."""
+    """id, n, line: the newest to-dos; below one that is done, when and where that was said."""
     newest = resolved.orderBy(F.desc("timestamp"), "id", "n").limit(n)
-    box = F.when(F.col("resolved"), "- [x] ").otherwise("- [ ] ")
-    return newest.select("id", "n", F.concat(box, F.col("text"), F.lit(" ("), F.col("project"), F.lit(", "), F.substring("timestamp", 1, 10), F.lit(")")).alias("line"))
+    head = F.concat(F.lit("- ["), F.when(F.col("resolved"), "done").otherwise("open"), F.lit("] ["), _known("project"), F.lit(" · "), _known("source"), F.lit(" · "), _day("timestamp"), F.lit("] "), F.col("text"))
+    done = F.when(F.col("resolved") & (F.coalesce("resolved_at", F.lit("")) != ""), F.concat(F.lit("\n    resolved "), F.substring("resolved_at", 1, 10), F.lit(" ("), _known("resolved_by"), F.lit(")"))).otherwise("")
+    return newest.select("id", "n", F.concat(head, done).alias("line"))
+
+
+def cluster_lines(clusters: DataFrame, told: bool = True) -> DataFrame:
+    """cluster, line: how often, when and where each cluster was met. told: with its words."""
+    first, last = _day("first_seen", ""), _day("last_seen", "")
+    span = F.when((first != "") & (last != "") & (first != last), F.concat(first, F.lit(" → "), last)).when(last != "", last).when(first != "", first).otherwise("?")
+    places = F.array_join(F.array_sort("projects"), ", ")
+    head = F.concat(F.lit("- ["), F.col("session_count").cast("string"), F.lit(" sessions, "), span, F.lit(", "), F.when(places != "", places).otherwise("?"), F.lit("] "), F.col("example"))
+    return clusters.select("cluster", (F.concat(head, F.lit("\n    fingerprint: "), F.col("fingerprint")) if told else head).alias("line"))
+
 
+def decision_lines(found: DataFrame) -> DataFrame:
+    """id, n, line: decisions as items of a Markdown list."""
+    return found.select("id", "n", F.concat(F.lit("- **"), _known("project"), F.lit("** ("), _known("source"), F.lit(", "), _day("timestamp"), F.lit("): "), F.col("text")).alias("line"))
 
-def cluster_lines(clusters: DataFrame) -> DataFrame:
-    """line: how often and where each cluster was met."""
-    head = F.concat(F.lit("- "), F.col("example"), F.lit(" ("), F.col("session_count").cast("string"), F.lit(" sessions, "))
-    return clusters.select("cluster", F.concat(head, F.substring("first_seen", 1, 10), F.lit(" → "), F.substring("last_seen", 1, 10), F.lit(")")).alias("line"))
+
+DECISION_QUERY = "decided chose going with will use agreed switching to plan is recommend"
+
+
+def mined_decisions(rows: DataFrame, vector: list[float], mode: str = "semantic", project: str | None = None, query: str = DECISION_QUERY) -> DataFrame:
+    """rank, id, n, text ...: decisions in the chunks that a search for them finds, 30 by meaning or 50 by both; of those that begin alike that of the best hit.
+
+    Only what the search finds is looked at; `mining.decisions` looks at every chunk.
+    """
+    hits = search.search(rows, search.checked(query, project or "")[0], vector, mode, 30 if mode == "semantic" else 50, project=project)
+    best = ["distance", "id"] if mode == "semantic" else [F.desc("score"), F.asc_nulls_last("sem_rank"), F.asc_nulls_last("kw_rank")]
+    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(*best)))  # fifty rows at most
+    found = mining.decision_sentences(ranked, also=("rank",))
+    w = Window.partitionBy(F.substring(F.lower("text"), 1, 80)).orderBy("rank", "n")
+    return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def session_notes(exchanges: DataFrame, summaries: DataFrame) -> DataFrame:
+    """path, note of each session of exchanges (n, role, content, timestamp, tools, and files and working_directory where they are known)."""
+    known = set(exchanges.columns)
+    files = F.array_distinct(F.flatten(F.collect_list("files"))) if "files" in known else F.array().cast("array<string>")
+    folder = F.max("working_directory") if "working_directory" in known else F.lit("")
+    first = {c: F.min_by(c, "n").alias(c) for c in ("source", "project", "git_branch", "started_at")}
+    by = exchanges.groupBy("session_id").agg(*first.values(), F.max("timestamp").alias("ended_at"), F.array_sort(files).alias("files"), folder.alias("working_directory"))
+    said = exchanges.select(F.col("n").cast("string").alias("id"), "session_id", "project", "source", F.struct("n", F.lit(0)).alias("timestamp"), "content")
+    item = F.struct(F.col("timestamp.n").alias("at"), "n", "text")
+    told = mining.decisions(said).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]).alias("decisions"))
+    whole = by.join(summaries, "session_id", "left").join(told, "session_id", "left").join(lifecycle.transcript(exchanges), "session_id", "left")
+    return notes(whole.withColumn("decisions", F.coalesce("decisions", F.array().cast("array<string>"))))
 
 
 def notes(sessions: DataFrame) -> DataFrame:
     """path, note: a Markdown note for each session.
 
-    sessions: session_id, source, project, git_branch, started_at, ended_at, summary, decisions, files (arrays), transcript. Up to ten
-    decisions and twenty files are named, and how many files more there are.
+    sessions: session_id, source, project, git_branch, started_at, ended_at, summary, decisions, files (arrays), transcript, and
+    working_directory where it is known, to which files are made relative. Up to ten decisions and twenty files are named, and how
+    many files more there are.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    front = F.concat(F.lit("---\nsession: "), F.col("session_id"), F.lit("\nsource: "), text("source"), F.lit("\nproject: "), text("project"), F.lit("\nstarted: "), text("started_at"), F.lit("\n---"))
-    branch = F.when(text("git_branch") != "", F.concat(F.lit(" ("), F.col("git_branch"), F.lit(")"))).otherwise("")
+    some = lambda c: F.when(text(c) != "", text(c))
+    day = F.coalesce(F.substring(some("started_at"), 1, 10), F.lit("unknown"))
+    front = F.concat_ws(
+        "\n", F.lit("---"), F.concat(F.lit("source: "), text("source")), F.concat(F.lit("project: "), text("project")), F.concat(F.lit("date: "), day), F.concat(F.lit("session_id: "), F.col("session_id")),
+        F.concat(F.lit("branch: "), some("git_branch")), F.when(F.size("files") > 0, F.concat(F.lit("files_touched: "), F.size("files").cast("string"))), F.lit("---"),
+    )
+    branch = F.coalesce(F.concat(F.lit(" ("), some("git_branch"), F.lit(")")), F.lit(""))
     head = F.concat(F.lit("# "), text("source"), F.lit(" — "), text("project"), branch, F.lit("\n*"), text("started_at"), F.lit(" → "), text("ended_at"), F.lit("*"))
-    listed = lambda c, most, mark: F.array_join(F.transform(F.slice(c, 1, most), lambda x: F.concat(F.lit(f"- {mark}"), x, F.lit(mark))), "\n")
+    folder = text("working_directory") if "working_directory" in sessions.columns else F.lit("")
+    files = F.transform(F.slice("files", 1, 20), lambda f: F.concat(F.lit("- `"), T.relative_path(f, folder), F.lit("`")))
     more = F.when(F.size("files") > 20, F.concat(F.lit("\n- *...and "), (F.size("files") - 20).cast("string"), F.lit(" more*"))).otherwise("")
+    decisions = F.transform(F.slice("decisions", 1, 10), lambda x: F.concat(F.lit("- "), x))
     part = lambda title, body, there: F.when(there, F.concat(F.lit(f"\n## {title}\n"), body, F.lit("\n")))
     note = F.concat_ws(
-        "\n\n", front, head, part("Summary", F.col("summary"), text("summary") != ""), part("Key Decisions", listed("decisions", 10, ""), F.size("decisions") > 0),
-        part("Files Touched", F.concat(listed("files", 20, "`"), more), F.size("files") > 0), F.lit("## Transcript"), text("transcript"),
+        "\n\n", front, head, part("Summary", F.col("summary"), text("summary") != ""), part("Key Decisions", F.array_join(decisions, "\n"), F.size("decisions") > 0),
+        part("Files Touched", F.concat(F.array_join(files, "\n"), more), F.size("files") > 0), F.lit("## Transcript"), some("transcript"),
     )
-    day = F.when(text("started_at") != "", F.substring("started_at", 1, 10)).otherwise("unknown")
     path = F.concat(T.sanitized(text("project")), F.lit("/"), day, F.lit("-"), T.sanitized(F.substring("session_id", 1, 8)), F.lit(".md"))
-    return sessions.select(path.alias("path"), note.alias("note"))
+    return sessions.select("session_id", path.alias("path"), note.alias("note"))

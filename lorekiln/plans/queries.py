@@ -109,13 +109,16 @@ hits AS (SELECT measured.* EXCLUDE (t), -({score}) AS bm25 FROM measured, corpus
 
 
 _VECTOR = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
-_VECTORED = f"{V.CHUNKS_SQL}, vectored AS (SELECT chunks.*, 1 - list_cosine_similarity(embedding::DOUBLE[], {_VECTOR}) AS distance FROM chunks JOIN embeddings ON vec_id::VARCHAR = id)"
 QUERY = "the and"
 
 
-def _hybrid(k: int, least: float = 0.0, where: str = "true") -> str:
+def _vectored_sql(rows: str = "chunks") -> str:
+    return f"{V.CHUNKS_SQL if rows == 'chunks' else V.CUED_SQL}, vectored AS (SELECT r.*, 1 - list_cosine_similarity(embedding::DOUBLE[], {_VECTOR}) AS distance FROM {rows} r JOIN embeddings ON vec_id::VARCHAR = id)"
+
+
+def _hybrid(k: int, least: float = 0.0, where: str = "true", query: str = QUERY, rows: str = "chunks") -> str:
     fetch = max(3 * k, 10)
-    return f"""{_VECTORED}, {_bm25("vectored", [["the"], ["and"]], where)},
+    return f"""{_vectored_sql(rows)}, {_bm25("vectored", [[w] for w in query.split()], where)},
 near AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS sr FROM (SELECT id, distance FROM vectored WHERE {where} ORDER BY distance, id LIMIT {fetch}) WHERE {f"1 - distance >= {least}" if least else "true"}),
 nears AS (SELECT *, CASE WHEN max(1 - distance) OVER () <= min(1 - distance) OVER () THEN 1 ELSE (1 - distance - min(1 - distance) OVER ()) / (max(1 - distance) OVER () - min(1 - distance) OVER ()) END AS s FROM near),
 said AS (SELECT id, bm25, row_number() OVER (ORDER BY bm25, id) AS kr FROM (SELECT id, bm25 FROM hits ORDER BY bm25, id LIMIT {fetch})),
@@ -124,9 +127,9 @@ fused AS (SELECT id, nears.distance, coalesce(s, 0) AS s, coalesce(w, 0) AS w, 0
   ORDER BY score DESC, sr NULLS LAST, kr NULLS LAST LIMIT {k})"""
 
 
-def _vectored(spark: SparkSession, d: str) -> DataFrame:
+def _vectored(spark: SparkSession, d: str, rows: Callable[[SparkSession, str], DataFrame] = V.chunks) -> DataFrame:
     vectors = V.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
-    return V.chunks(spark, d).join(vectors, "id")
+    return rows(spark, d).join(vectors, "id")
 
 
 def _vector(spark: SparkSession, d: str) -> list[float]:
@@ -242,7 +245,22 @@ def path_sanitize(spark, d):
     return V.table(spark, d, "pages").select("page_id", T.sanitized(F.col("url")).alias("name"))
 
 
-@query()
+def _utf8(x: str, most: int) -> str:
+    """x within most bytes: continuation bytes at the cut go, and so does the lead byte before them."""
+    h = f"hex(encode({x}))"
+    back = f"length(regexp_extract(substr({h}, {2 * most - 7}, 8), '((?:[89AB][0-9A-F])*)$', 1))"
+    lead = f"(substr({h}, {2 * most} - {back} - 1, 1) IN ('C', 'D', 'E', 'F'))::INTEGER * 2"
+    size = f"octet_length(encode({x}))"
+    return f"CASE WHEN {size} <= {most} THEN {x} ELSE decode(unhex(substr({h}, 1, {2 * most} - {back} - {lead}))) || chr(10) || chr(10) || '*[truncated — ' || ({size} - {most} + {back} // 2) || ' bytes omitted; full content in the store]*' END"
+
+
+#: CTE written: session_id, transcript. No session of the tables has so many exchanges that some are left out; a test has.
+_WRITTEN = f"""redacted AS (SELECT *, {_redact("content")} AS r FROM exchanges),
+blocks AS (SELECT session_id, n, CASE role WHEN 'human' THEN '### You' WHEN 'assistant' THEN '### Assistant' || CASE WHEN len(tools) > 0 THEN chr(10) || '> Tools: ' || array_to_string(tools, ', ') ELSE '' END END || chr(10) || {_utf8("r", 2000)} AS p FROM redacted),
+written AS (SELECT session_id, coalesce(string_agg(p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n), '') AS transcript FROM blocks GROUP BY session_id)"""
+
+
+@query(f"WITH {V.EXCHANGES_SQL}, {_WRITTEN} SELECT session_id, md5(transcript) AS transcript FROM written")
 def session_transcripts(spark, d):
     return lifecycle.transcript(V.exchanges(spark, d)).select("session_id", F.md5("transcript").alias("transcript"))
 
@@ -434,6 +452,14 @@ def file_context(spark, d):
     return surfaces.file_context(_vectored(spark, d), "/src/the and", "s1", _vector(spark, d), V.index(spark, d, vectored=True))
 
 
+_AT_START = "recent work on de"
+
+
+@query(f"WITH {_hybrid(3, 0.3, chr(39) + 'de' + chr(39) + ' = project', _AT_START)}, s AS (SELECT *, score * exp(-{_AGE} / 30.0) AS v, {_SNIP} AS t FROM fused JOIN chunks USING (id)) SELECT substr(timestamp, 1, 10) AS day, CASE WHEN length(t) > 180 THEN substr(t, 1, 180) || '...' ELSE t END AS snippet FROM s")
+def session_start(spark, d):
+    return surfaces.session_start(_vectored(spark, d), "/home/me/de/", _vector(spark, d), V.NOW, V.index(spark, d, vectored=True))
+
+
 # --- mining ----------------------------------------------------------------------------------------
 
 _LINES = r"string_split_regex(content, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')"
@@ -534,6 +560,17 @@ def todo_counts(spark, d):
     return surfaces.todo_counts(mining.resolved_todos(mining.todos(rows), mining.done_signals(rows)))
 
 
+@query(
+    f"""{_RESOLVED}, o AS (SELECT kept.*, x FROM kept LEFT JOIN first USING (id, pos) ORDER BY timestamp DESC, id, pos LIMIT 50)
+SELECT id, pos, '- [' || CASE WHEN x IS NULL THEN 'open' ELSE 'done' END || '] [' || project || ' · ' || source || ' · ' || substr(timestamp, 1, 10) || '] ' || {_SHOWN_TODO}
+  || CASE WHEN x IS NULL THEN '' ELSE chr(10) || '    resolved ' || substr(x[1], 1, 10) || ' (' || x[2] || ')' END AS line FROM o"""
+)
+def todo_lines(spark, d):
+    rows = V.cued(spark, d)
+    out = surfaces.todo_lines(mining.resolved_todos(mining.todos(rows), mining.done_signals(rows)))
+    return out.select("id", F.col("n").cast("long").alias("pos"), "line")
+
+
 _SHOWN_RULE = f"(CASE WHEN trim(rtrim({_strip('CASE WHEN instr(m, body) > 0 THEN substr(m, 1, instr(m, body) - 1) ELSE m END')}, ':')) <> '' THEN rtrim({_strip('CASE WHEN instr(m, body) > 0 THEN substr(m, 1, instr(m, body) - 1) ELSE m END')}, ':') || ' ' || body ELSE body END)"
 
 
@@ -542,12 +579,12 @@ def rule_extract(spark, d):
     return mining.rules(V.cued(spark, d)).select("id", F.col("n").cast("long").alias("pos"), "text")
 
 
-def _decision_sql() -> str:
+def _decision_sql(source: str = "cued") -> str:
     starts = []
     for p in P.DECISIONS:
         marked = f"string_split(regexp_replace(content, {_quote('(' + p + ')')}, chr(1) || chr(92) || '1', 'g'), chr(1))"
         starts.append(f"list_transform(range(1, len({marked})), lambda i: length(array_to_string({marked}[1:i], '')))")
-    return f"""spots AS (SELECT * EXCLUDE (x), x[2] AS n, x[1] AS p FROM (SELECT *, unnest(list_zip(l, range(len(l)))) AS x FROM (SELECT *, flatten([{", ".join(starts)}]) AS l FROM cued))),
+    return f"""spots AS (SELECT * EXCLUDE (x), x[2] AS n, x[1] AS p FROM (SELECT *, unnest(list_zip(l, range(len(l)))) AS x FROM (SELECT *, flatten([{", ".join(starts)}]) AS l FROM {source}))),
 sent AS (SELECT *, {_strip("string_split(substr(content, 1, p), '. ')[-1] || CASE WHEN instr(substr(content, p + 1), '. ') > 0 THEN substr(content, p + 1, instr(substr(content, p + 1), '. ')) ELSE substr(content, p + 1) END")} AS s FROM spots),
 capped AS (SELECT *, CASE WHEN length(s) > 300 THEN substr(s, 1, 300) || '...' ELSE s END AS text FROM sent WHERE s <> '')"""
 
@@ -568,6 +605,43 @@ def decision_mining(spark, d):
     return rows.select("id", "text")
 
 
+@query(f"WITH {V.CUED_SQL}, {_decision_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id, substr(lower(text), 1, 100) ORDER BY timestamp, id, n) AS r FROM capped) SELECT id, '- **' || project || '** (' || source || ', ' || substr(timestamp, 1, 10) || '): ' || text AS line FROM r WHERE r = 1")
+def decision_lines(spark, d):
+    return surfaces.decision_lines(mining.decisions(V.cued(spark, d))).select("id", "line")
+
+
+def _found_decisions(ranked: str) -> str:
+    return f"{ranked}, {_decision_sql('hit')}, r AS (SELECT *, row_number() OVER (PARTITION BY substr(lower(text), 1, 80) ORDER BY rank, n) AS r FROM capped) SELECT id, rank, text FROM r WHERE r = 1"
+
+
+@query(_found_decisions(f"WITH {_vectored_sql('cued')}, hit AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM vectored QUALIFY rank <= 30)"))
+def decisions_by_meaning(spark, d):
+    out = surfaces.mined_decisions(_vectored(spark, d, V.cued), _vector(spark, d))
+    return out.select("id", F.col("rank").cast("long").alias("rank"), "text")
+
+
+@query(_found_decisions(f"WITH {_hybrid(50, query='the to', rows='cued')}, hit AS (SELECT cued.*, row_number() OVER (ORDER BY score DESC, sr NULLS LAST, kr NULLS LAST) AS rank FROM fused JOIN cued USING (id))"))
+def decisions_by_search(spark, d):
+    out = surfaces.mined_decisions(_vectored(spark, d, V.cued), _vector(spark, d), "hybrid", query="the to")
+    return out.select("id", F.col("rank").cast("long").alias("rank"), "text")
+
+
+@query(
+    f"""WITH {V.EXCHANGES_SQL}, {_WRITTEN}, e AS (SELECT session_id, source, project, git_branch, started_at, max(timestamp) AS ended_at FROM exchanges GROUP BY ALL),
+cued AS (SELECT n::VARCHAR AS id, session_id, project, source, n AS turn, content FROM exchanges), {_decision_sql()},
+told AS (SELECT session_id, list('- ' || text ORDER BY turn, n) AS l FROM (SELECT *, row_number() OVER (PARTITION BY session_id, substr(lower(text), 1, 100) ORDER BY turn, n) AS r FROM capped) WHERE r = 1 GROUP BY session_id)
+SELECT session_id, project || '/' || substr(started_at, 1, 10) || '-' || substr(session_id, 1, 8) || '.md' AS path,
+  md5(concat_ws(chr(10) || chr(10), concat_ws(chr(10), '---', 'source: ' || source, 'project: ' || project, 'date: ' || substr(started_at, 1, 10), 'session_id: ' || session_id, 'branch: ' || nullif(git_branch, ''), '---'),
+    '# ' || source || ' — ' || project || CASE WHEN git_branch <> '' THEN ' (' || git_branch || ')' ELSE '' END || chr(10) || '*' || started_at || ' → ' || ended_at || '*', chr(10) || '## Summary' || chr(10) || 'x' || chr(10),
+    chr(10) || '## Key Decisions' || chr(10) || array_to_string(l[1:10], chr(10)) || chr(10), '## Transcript', nullif(transcript, ''))) AS note
+FROM e JOIN written USING (session_id) LEFT JOIN told USING (session_id)"""
+)
+def session_notes(spark, d):
+    rows = V.exchanges(spark, d)
+    notes = surfaces.session_notes(rows, rows.select("session_id").distinct().withColumn("summary", F.lit("x")))
+    return notes.select("session_id", "path", F.md5("note").alias("note"))
+
+
 # --- statistics and archive ------------------------------------------------------------------------
 
 

@@ -174,5 +174,8 @@ def test_deletes_and_transcript(spark):
     assert lifecycle.deleted(df, project="x", session="s2").first().project == "x"
     turns = [("human", f"m{k}", "", []) for k in range(7)]
     text = lifecycle.transcript(exchanges(spark, turns), ends=2).first().transcript
-    assert text.count("###") == 4 and "*[3 exchanges omitted]*" in text and "m2" not in text and "m5" in text
+    assert text.count("###") == 4 and "\n\n---\n\n*[3 exchanges omitted; full content in the store]*\n\n---\n\n" in text and "m2" not in text and "m5" in text
+    mixed = [("human", "my password: hunter2hunter2", "", []), ("system", "quiet", "", []), ("assistant", "done", "", ["Read", "Bash"])]
+    assert lifecycle.transcript(exchanges(spark, mixed)).first().transcript == "### You\nmy [REDACTED]\n\n---\n\n### Assistant\n> Tools: Read, Bash\ndone"
+    assert lifecycle.transcript(exchanges(spark, mixed[1:2])).first().transcript == ""
     assert lifecycle.stats(df).where("kind = 'all'").first().chunks == 2

@@ -51,19 +51,27 @@ def test_prompts_that_ask_for_nothing(rows):
 
 
 def test_notes(spark):
-    kind = "session_id string, source string, project string, git_branch string, started_at string, ended_at string, summary string, decisions array<string>, files array<string>, transcript string"
-    sessions = [("s/1-long-name", "src", "p x", "main", "2024-01-02T03", "2024-01-03", "Did.", [f"d{k}" for k in range(12)], [f"f{k}" for k in range(22)], "T"), ("s2", "src", "q", None, None, None, None, [], [], None)]
+    kind = "session_id string, source string, project string, git_branch string, started_at string, ended_at string, summary string, decisions array<string>, files array<string>, transcript string, working_directory string"
+    sessions = [("s/1-long-name", "src", "p x", "main", "2024-01-02T03", "2024-01-03", "Did.", [f"d{k}" for k in range(12)], [f"/w/f{k}" for k in range(22)], "T", "/w"), ("s2", "src", "q", None, None, None, None, [], [], None, None)]
     got = {r.path: r.note for r in surfaces.notes(spark.createDataFrame(sessions, kind)).collect()}
     one, two = (got[p] for p in sorted(got))
     assert sorted(got) == ["p_x/2024-01-02-s_1-long.md", "q/unknown-s2.md"]
+    assert one.startswith("---\nsource: src\nproject: p x\ndate: 2024-01-02\nsession_id: s/1-long-name\nbranch: main\nfiles_touched: 22\n---\n\n# src")
     assert "# src — p x (main)\n*2024-01-02T03 → 2024-01-03*" in one and "- d9\n" in one and "d10" not in one and "- `f19`\n- *...and 2 more*" in one
-    assert "## Summary" not in two and two.endswith("## Transcript\n\n")
-
-
-def test_to_do_lines_and_counts(spark):
-    rows = spark.createDataFrame([("a", 0, "p", "2024-01-01", "x", True), ("b", 0, "p", "2024-01-03", "y", False), ("c", 1, "q", "2024-01-02", "z", False)], "id string, n int, project string, timestamp string, text string, resolved boolean")
-    assert [r.line for r in surfaces.todo_lines(rows, 2).collect()] == ["- [ ] y (p, 2024-01-03)", "- [ ] z (q, 2024-01-02)"]
-    assert sorted(map(tuple, surfaces.todo_counts(rows).collect())) == [("p", 1, 1), ("q", 1, 0)]
+    assert two == "---\nsource: src\nproject: q\ndate: unknown\nsession_id: s2\n---\n\n# src — q\n* → *\n\n## Transcript"
+
+
+def test_lines_and_counts(spark):
+    kind = "id string, n int, project string, source string, timestamp string, text string, resolved boolean, resolved_by string, resolved_at string"
+    rows = spark.createDataFrame([("a", 0, "p", "s", "2024-01-01", "x", False, None, None), ("b", 0, "p", "s", "2024-01-03T01", "y", True, "d", "2024-01-05T09"), ("c", 1, None, None, "", "z", False, None, None)], kind)
+    assert {r.line for r in surfaces.todo_lines(rows).collect()} == {"- [open] [p · s · 2024-01-01] x", "- [done] [p · s · 2024-01-03] y\n    resolved 2024-01-05 (d)", "- [open] [? · ? · ?] z"}
+    assert [r.id for r in surfaces.todo_lines(rows, 2).collect()] == ["b", "a"]
+    assert sorted((r.project or "", r.open_items, r.resolved_items) for r in surfaces.todo_counts(rows).collect()) == [("", 1, 0), ("p", 1, 1)]
+    assert [r.line for r in surfaces.decision_lines(rows).orderBy("id").collect()] == ["- **p** (s, 2024-01-01): x", "- **p** (s, 2024-01-03): y", "- **?** (?, ?): z"]
+    met = [(0, "it broke", "broke pool", 3, ["b", "a"], "2024-01-01T1", "2024-02-01T1"), (1, "e", "f", 4, [], "", "")]
+    met = spark.createDataFrame(met, "cluster int, example string, fingerprint string, session_count int, projects array<string>, first_seen string, last_seen string")
+    assert [r.line for r in surfaces.cluster_lines(met).orderBy("cluster").collect()] == ["- [3 sessions, 2024-01-01 → 2024-02-01, a, b] it broke\n    fingerprint: broke pool", "- [4 sessions, ?, ?] e\n    fingerprint: f"]
+    assert surfaces.cluster_lines(met, told=False).where("cluster = 1").first().line == "- [4 sessions, ?, ?] e"
 
 
 def test_projects_come_back_as_they_were(spark, tmp_path):

@@ -101,8 +101,9 @@ def test_transcripts_keep_what_the_reference_keeps(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     want = {}
     for c, n in turns.items():
-        parts = [f"### {'User' if t % 2 == 0 else 'Assistant'}\n\n{c}-{t} " + "é" * 500 for t in range(n) if n <= 60 or t < 30 or t >= n - 30]
+        said = lambda t: f"### You\n{c}-{t} " if t % 2 == 0 else f"### Assistant{chr(10) + '> Tools: Read, Edit' if t % 3 == 1 else ''}\n{c}-{t} "  # noqa: E731, B023
+        parts = [said(t) + "é" * 500 for t in range(n) if n <= 60 or t < 30 or t >= n - 30]
         if n > 60:
-            parts[29] += f"\n\n*[{n - 60} exchanges omitted]*"
-        want[f"c{c}"] = hashlib.md5("\n\n".join(parts).encode()).hexdigest()
+            parts.insert(30, f"*[{n - 60} exchanges omitted; full content in the store]*")
+        want[f"c{c}"] = hashlib.md5("\n\n---\n\n".join(parts).encode()).hexdigest()
     assert {r.session_id: r.transcript for r in QUERIES["session_transcripts"](spark, str(tmp_path)).collect()} == want
