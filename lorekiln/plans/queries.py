@@ -112,13 +112,17 @@ _VECTOR = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 QUERY = "the and"
 
 
-def _vectored_sql(rows: str = "chunks") -> str:
-    return f"{V.CHUNKS_SQL if rows == 'chunks' else V.CUED_SQL}, vectored AS (SELECT r.*, 1 - list_cosine_similarity(embedding::DOUBLE[], {_VECTOR}) AS distance FROM {rows} r JOIN embeddings ON vec_id::VARCHAR = id)"
+#: A vector that some row of the project has.
+_VECTOR_DE = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings JOIN documents ON doc_id = vec_id WHERE lang = 'de'))"
 
 
-def _hybrid(k: int, least: float = 0.0, where: str = "true", query: str = QUERY, rows: str = "chunks") -> str:
+def _vectored_sql(rows: str = "chunks", vector: str = _VECTOR) -> str:
+    return f"{V.CHUNKS_SQL if rows == 'chunks' else V.CUED_SQL}, vectored AS (SELECT r.*, 1 - list_cosine_similarity(embedding::DOUBLE[], {vector}) AS distance FROM {rows} r JOIN embeddings ON vec_id::VARCHAR = id)"
+
+
+def _hybrid(k: int, least: float = 0.0, where: str = "true", query: str = QUERY, rows: str = "chunks", vector: str = _VECTOR) -> str:
     fetch = max(3 * k, 10)
-    return f"""{_vectored_sql(rows)}, {_bm25("vectored", [[w] for w in query.split()], where)},
+    return f"""{_vectored_sql(rows, vector)}, {_bm25("vectored", [[w] for w in query.split()], where)},
 near AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS sr FROM (SELECT id, distance FROM vectored WHERE {where} ORDER BY distance, id LIMIT {fetch}) WHERE {f"1 - distance >= {least}" if least else "true"}),
 nears AS (SELECT *, CASE WHEN max(1 - distance) OVER () <= min(1 - distance) OVER () THEN 1 ELSE (1 - distance - min(1 - distance) OVER ()) / (max(1 - distance) OVER () - min(1 - distance) OVER ()) END AS s FROM near),
 said AS (SELECT id, bm25, row_number() OVER (ORDER BY bm25, id) AS kr FROM (SELECT id, bm25 FROM hits ORDER BY bm25, id LIMIT {fetch})),
@@ -455,9 +459,11 @@ def file_context(spark, d):
 _AT_START = "recent work on de"
 
 
-@query(f"WITH {_hybrid(3, 0.3, chr(39) + 'de' + chr(39) + ' = project', _AT_START)}, s AS (SELECT *, score * exp(-{_AGE} / 30.0) AS v, {_SNIP} AS t FROM fused JOIN chunks USING (id)) SELECT substr(timestamp, 1, 10) AS day, CASE WHEN length(t) > 180 THEN substr(t, 1, 180) || '...' ELSE t END AS snippet FROM s")
+@query(f"WITH {_hybrid(3, 0.3, chr(39) + 'de' + chr(39) + ' = project', _AT_START, vector=_VECTOR_DE)}, s AS (SELECT *, score * exp(-{_AGE} / 30.0) AS v, {_SNIP} AS t FROM fused JOIN chunks USING (id)) SELECT substr(timestamp, 1, 10) AS day, CASE WHEN length(t) > 180 THEN substr(t, 1, 180) || '...' ELSE t END AS snippet FROM s")
 def session_start(spark, d):
-    return surfaces.session_start(_vectored(spark, d), "/home/me/de/", _vector(spark, d), V.NOW, V.index(spark, d, vectored=True))
+    rows = _vectored(spark, d)
+    vector = rows.where("project = 'de'").orderBy(F.col("id").cast("long")).select("embedding").first()  # one row
+    return surfaces.session_start(rows, "/home/me/de/", list(vector.embedding) if vector else _vector(spark, d), V.NOW, V.index(spark, d, vectored=True))
 
 
 # --- mining ----------------------------------------------------------------------------------------
