@@ -3,6 +3,9 @@
 Each stage takes all that the one before it kept and returns the columns of documents; the last
 returns where every piece of the mix lies. Rules and parameters are those of the operators, but that near
 duplicates are told by five-word shingles.
+
+Columns other than those of documents are left behind, whatever they are called, and an empty table gives an empty one. Equal
+rows are as many rows in each stage: they stay or go together. What becomes of nulls is said with each stage.
 """
 
 from __future__ import annotations
@@ -16,21 +19,27 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
+    """Drops the documents that the quality rules reject; null and empty texts have too few words and go. Rows without an id or a source are judged by their text."""
     shared.ship(spark)
     judged = quality.quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("kept").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; n_chars follows the text. A document that loses all its lines stays, with an empty text."""
+    """Drops repeated lines; n_chars follows the text. A document that loses all its lines stays, with an empty text.
+
+    Null and empty texts stay as they are, with n_chars 0; rows without an id stay.
+    """
     shared.ship(spark)
     kept = line_dedup.deduped(docs.select(*COLUMNS))
     return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates; rows of one id stay or go together."""
+    """Keeps the smallest id of each group of near duplicates; rows of one id stay or go together.
+
+    Null and empty texts link with nothing and stay; so do rows without an id, whatever they are like.
+    """
     shared.ship(spark)
     gone = near_dedup.near_duplicates(docs, shingle=5).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
     docs = docs.select(*COLUMNS)
@@ -38,13 +47,13 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them."""
+    """The documents that the mix takes, each as often as it takes them. Rows without a source are a source of their own, the last."""
     shared.ship(spark)
     return mixing.mixed(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin of every piece of every document."""
+    """The bin of every piece of every document; documents without words have one row, with no bin."""
     shared.ship(spark)
     return packing.packed(docs.select(*COLUMNS))
 
