@@ -105,3 +105,47 @@ def test_all_of_the_mix_is_packed(spark, stages):
     assert max(room.values()) <= packing.CAPACITY
     assert all(len(set(x)) == len(x) for x in texts.values())  # copies of a document never share a bin
     assert corpus_pipeline.run(spark, path).exceptAll(out[5]).count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Repeated rows, null ids, texts, sources and lengths, an empty and a very long text, extra columns named like those of the stages."""
+    clean, other = (" ".join(f"{w}{k}" for k in range(60)) for w in ("word", "term"))
+    rows = [
+        (1, clean, "en", "a", 9), (1, clean, "en", "a", 9), (2, other, None, None, 9), (3, None, "en", "a", None), (None, clean + " end", "en", "a", 9),
+        (None, None, None, None, None), (4, "", "en", "b", 0), (5, "long " + "w" * 3_000_000 + " " + clean, "en", "b", 9),
+    ]
+    docs = spark.createDataFrame([(*r, "x", "y", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, words string, kept string, size int")
+    path = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path, docs
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_odd_rows_in_each_stage(spark, odd, k):
+    path, docs = odd
+    name, stage = corpus_pipeline.STAGES[k]
+    assert stage(spark, docs.limit(0), path).count() == 0
+    out = stage(spark, docs, path)
+    found = Counter((r.doc_id, r.source) for r in out.collect())
+    whole = {(1, "a"): 2, (2, None): 1, (3, "a"): 1, (None, "a"): 1, (None, None): 1, (4, "b"): 1, (5, "b"): 1}
+    if k < 4:
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+    if name == "quality_rules":
+        assert found == {i: n for i, n in whole.items() if i not in {(3, "a"), (None, None), (4, "b")}}
+    elif name == "near_dedup":
+        assert found == {i: n for i, n in whole.items() if i != (5, "b")}  # near 1; rows without an id stay
+    elif name == "mix_sources":
+        want = Counter()
+        for r in mixing.mix(docs.select(*corpus_pipeline.COLUMNS)).collect():
+            want[r.i] += r.copies
+        got = Counter(r.doc_id for r in out.collect())
+        assert got == Counter({i: n for i, n in want.items() if n})
+    else:
+        assert found == whole
+    if name == "line_dedup":
+        texts = {(r.doc_id, r.source): (r.text, r.n_chars) for r in out.collect()}
+        assert texts[3, "a"] == (None, 0) and texts[4, "b"] == ("", 0) and texts[5, "b"][1] == 3_000_415 and texts[1, "a"][1] == 409
+    if name == "best_fit_packing":
+        assert {r.doc_id for r in out.collect() if r.bin is None} == {3, 4, None}
+        assert sum(r.length for r in out.collect()) == 60 * 3 + 61 + 62
