@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekiln.llm import licenses, line_dedup, mixing, near_dedup, ogg, packing, quality, shared, token_files, url_filter, warc_zip
+from lorekiln.llm import bpe, fim, licenses, line_dedup, mixing, near_dedup, ogg, packing, prefix_trie, quality, shared, token_files, url_filter, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,25 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, _table(spark, sf_dir, "labels")).drop("text")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    whole = bpe.decoded(ids, tokenizer)
+    return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restored(fim.transformed(_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ogg": op2_ogg,
@@ -75,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zip": op8_warc_zip,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_bpe": op11_bpe,
+    "op12_fim": op12_fim,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -202,4 +224,61 @@ FROM ruled LEFT JOIN said USING (node)
 """
 
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op9_near_dedup": OP9_SQL, "op10_url_filter": op10_sql()}
+OP12_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), numbers AS (
+  SELECT doc_id, t, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM drawn
+), formed AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+), parts AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+#: The CRC-32 of a string of ASCII characters, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({s}) + 1), lambda k: ascii(substr({s}, k, 1))::BIGINT)),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"""
+
+OP13_SQL = f"""
+WITH turns AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), ranked AS (
+  SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(octet_length(encode(role))::VARCHAR || ':' || role || text)) - 1 AS i FROM turns
+), convs AS (
+  SELECT c, count(*) AS own, c - c % 5 AS b, {CRC32_SQL.format(s="c::VARCHAR")} % 9 AS h FROM turns GROUP BY c
+), taken AS (
+  SELECT v.*, least(v.h, coalesce(w.own, 0)) AS taken FROM convs v LEFT JOIN convs w ON w.c = v.b
+), rebuilt AS (
+  SELECT v.c, r.i, r.role, r.text FROM taken v JOIN ranked r ON r.c = v.b AND r.i < v.h
+  UNION ALL SELECT v.c, r.i - v.h + v.taken, r.role, r.text FROM taken v JOIN ranked r ON r.c = v.c AND r.i >= v.h
+), whole AS (
+  SELECT c, coalesce(list({{'role': role, 'text': text}} ORDER BY i) FILTER (i IS NOT NULL), []) AS s FROM convs LEFT JOIN rebuilt USING (c) GROUP BY c
+), prefixes AS (
+  SELECT c, len(s) AS l, s, unnest(range(0, len(s) + 1)) AS d FROM whole
+), nodes AS (
+  SELECT d, s[1:d] AS p, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (l = d), '') AS ends FROM prefixes GROUP BY d, s[1:d]
+), below AS (
+  SELECT *, unnest(range(0, d + 1)) AS ad FROM nodes
+), kin AS (
+  SELECT a.conv_id AS ac, a.d AS ad, b.conv_id, b.d, (b.n_convs - 1) * coalesce(octet_length(encode(b.p[b.d].text)), 0) AS saved
+  FROM below b JOIN nodes a ON a.d = b.ad AND a.p = b.p[1:b.ad]
+), children AS (
+  SELECT ac AS conv_id, ad AS d, count(*) AS n FROM kin WHERE ad = d - 1 GROUP BY ac, ad
+), sums AS (
+  SELECT k.ac AS conv_id, k.ad AS d, count(*) FILTER (c.n IS NULL) AS n_leaves, sum(k.saved)::BIGINT AS saved_tokens
+  FROM kin k LEFT JOIN children c ON c.conv_id = k.conv_id AND c.d = k.d GROUP BY k.ac, k.ad
+)
+SELECT n.conv_id, n.d AS depth, k.ac AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.conv_id = n.conv_id AND s.d = n.d LEFT JOIN children c ON c.conv_id = n.conv_id AND c.d = n.d
+  LEFT JOIN kin k ON k.conv_id = n.conv_id AND k.d = n.d AND k.ad = n.d - 1
+"""
+
+ORACLES: dict[str, str] = {"op12_fim": OP12_SQL, "op13_prefix_trie": OP13_SQL, "op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op9_near_dedup": OP9_SQL, "op10_url_filter": op10_sql()}
