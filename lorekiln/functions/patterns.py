@@ -72,16 +72,38 @@ DECISIONS = (
     r"(?i)\bpicked\b.*\b(?:over|instead)\b", r"(?i)\bmigrat(?:e|ing|ed)\s+(?:to|from)\b", r"(?i)\breplac(?:e|ing|ed)\b.*\bwith\b",
 )
 
+#: Literals without which an expression above finds nothing, in lower case: any one of a group's, groups in the order of the expressions.
+PROBLEM_LITERALS = (
+    ("error",), ("exception",), ("traceback",), ("broken",), ("work",), ("working",), ("working",), ("fail",), ("crash",), ("defined",), ("null",), ("stack",), ("can't", "can’t"),
+    ("cannot",), ("bug",), ("regression",), ("hang",), ("timeout",), ("500", "502", "503", "504"),
+)
+TODO_LITERALS = (
+    ("todo",), ("fixme",), ("xxx",), ("should",), ("come back to", "revisit", "circle back to"), ("let's", "let’s", "lets", "let us"), ("need",), ("would be nice to", "would be good to", "would be great to"),
+    ("gonna", "going to"), ("later",),
+)
+DONE_LITERALS = (("added", "fixed", "shipped", "completed", "done", "implemented", "landed", "merged", "finished", "resolved", "wrapped", "took"),)
+RULE_LITERALS = (("don't", "don’t"), ("do not",), ("never",), ("always",), ("stop",), ("use",), ("prefer",), ("avoid",), ("told you", "asked you", "said you"), ("remember",), ("make sure",))
+DECISION_LITERALS = (
+    ("decided", "deciding"), ("we'll", "we will", "i'll", "i will"), ("going", "went"), ("chose", "chosen", "choose"), ("the plan is",), ("agreed on",), ("switching to",), ("lets go with", "let's go with"), ("will use",),
+    ("recommend",), ("picked",), ("migrat",), ("replac",),
+)
+
 # fixed values: words without content, by detector
 RULE_STOPWORDS = tuple(
     "the a an is are was were be been being and or but if then of to in on at by for with from as this that these those it its i you we they "
     "do does did doing done have has had having will would should could can so than very just also too only still what when where why how which "
     "not no yes please thanks ok okay sure let like want need use using used going get got make makes making made".split()
 )
-TODO_STOPWORDS = (*RULE_STOPWORDS, "add", "fix", "implement")
-PROBLEM_STOPWORDS = (
-    *RULE_STOPWORDS,
-    *"he she him her them my your our their his hers may might must who because before after while during since until again now later great see seems looks look".split(),
+TODO_STOPWORDS = tuple(
+    "the a an is are was were be been being and or but if then of to in on at by for with from as this that these those it its i you we they "
+    "do does did doing done have has had having will would should could can so than very just also too only still what when where why how which "
+    "not no yes please thanks ok okay sure let like want need use used using going get got make makes making made add fix implement".split()
+)
+PROBLEM_STOPWORDS = tuple(
+    "the a an is are was were be been being and or but if then of to in on at by for with from as this that these those it its i you we they "
+    "do does did doing done have has had having will would should could can so than very just also too only still what when where why how which "
+    "not no yes please thanks ok okay sure let like want need use used using going get got make makes making made "
+    "he she him her them my your our their his hers may might must who because before after while during since until again now later great see seems looks look".split()
 )
 SUMMARY_STOPWORDS = tuple(
     "the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought used to of in for on with at by from "

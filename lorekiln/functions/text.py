@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -16,6 +17,52 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+#: Letters that an expression without regard to case takes for others, and those.
+_FOLD = ("ıİſ\u212a", "iisk")
+
+
+def folded(c: Column) -> Column:
+    """In lower case, as expressions without regard to case see it."""
+    odd = reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in _FOLD[0]])
+    return F.lower(F.when(odd, F.translate(c, *_FOLD)).otherwise(c))
+
+
+def literal_tree(words) -> str:
+    """One expression that finds any of the words; what begins alike is looked at once."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for letter in word:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def spelled(node: dict) -> str:
+        if "" in node:
+            return ""  # what is longer begins with it
+        parts = [re.escape(x) + spelled(rest) for x, rest in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return spelled(tree)
+
+
+def may_match(c: Column, literals) -> Column:
+    """Whether a text has one of the literals of any of the groups: without it none of their expressions matches."""
+    return folded(c).rlike(literal_tree(sorted({x for group in literals for x in group})))
+
+
+def literals_in(c: Column, literals) -> Column:
+    """The literals that a text has, looked for once at every place; of one that begins with another only the shorter is told."""
+    every = sorted({x for group in literals for x in group})
+    return F.array_distinct(F.regexp_extract_all(folded(c), F.lit(f"(?=({literal_tree(every)}))"), F.lit(1)))
+
+
+def has_any(found: Column, group, literals) -> Column:
+    """Whether `literals_in` told of one of a group's literals."""
+    every = {x for g in literals for x in g}
+    keys = sorted({min((x for x in every if word.startswith(x)), key=len) for word in group})
+    return F.arrays_overlap(found, F.array(*map(F.lit, keys)))
+
+
 def redact(c: Column) -> Column:
     """Every secret pattern in turn, over texts that have one of the literals without which none of them matches; others are as they were."""
     small = F.lower(c)

@@ -502,15 +502,23 @@ def jaccard_pairs(spark, d):
     return rows.select("id", F.col("n").cast("long").alias("n"), F.round(T.jaccard(F.col("tokens"), F.col("after")), 9).alias("j"))
 
 
-@query()
-def recurring_clusters(spark, d):
-    out = mining.recurring_problems(V.cued(spark, d))
-    return out.select("cluster", "example", "session_count", "first_seen", "last_seen")
+def _clusters(signals: str, threshold: float) -> str:
+    """CTEs after `signals` (id, n, session_id, text, tokens, timestamp): linked are the best 20 clusters that are met in three sessions."""
+    return f"""prints AS (SELECT DISTINCT array_to_string(tokens, ' ') AS k, tokens FROM {signals}),
+linkrows AS (SELECT a.k AS a, b.k AS b FROM prints a JOIN prints b ON {_jaccard("a.tokens", "b.tokens")} >= {threshold}),
+reach AS (SELECT a AS k, a AS r FROM linkrows UNION SELECT reach.k, linkrows.b FROM reach JOIN linkrows ON reach.r = linkrows.a),
+roots AS (SELECT k AS root_of, min(r) AS cluster FROM reach GROUP BY k),
+told AS (SELECT s.*, cluster FROM {signals} s JOIN roots ON root_of = array_to_string(tokens, ' ')),
+linked AS (SELECT cluster, arg_min(text, (timestamp, id, n)) AS example, count(DISTINCT session_id)::INTEGER AS session_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) AS signals
+  FROM told GROUP BY cluster HAVING session_count >= 3 ORDER BY session_count DESC, last_seen DESC, cluster LIMIT 20)"""
 
 
-@query()
-def rule_clusters(spark, d):
-    return mining.recurring_rules(V.cued(spark, d)).select("cluster", "example", "session_count", "first_seen", "last_seen")
+_CLUSTER_COLUMNS = ("cluster", "example", "session_count", "first_seen", "last_seen", "signals")
+
+
+@query(f"WITH RECURSIVE {_SIGNALS}, {_fold('signals', 0.5)}, {_clusters('kept', 0.5)} SELECT {', '.join(_CLUSTER_COLUMNS)} FROM linked")
+def recurring_clusters(spark, d):
+    return mining.recurring_problems(V.cued(spark, d)).select(*_CLUSTER_COLUMNS)
 
 
 def _extracts(patterns, stop, most: int) -> str:
@@ -585,6 +593,11 @@ def rule_extract(spark, d):
     return mining.rules(V.cued(spark, d)).select("id", F.col("n").cast("long").alias("pos"), "text")
 
 
+@query(f"WITH RECURSIVE {V.CUED_SQL}, {_extracts(P.RULES, P.RULE_STOPWORDS, 180)}, {_fold('items', 0.7)}, shown AS (SELECT * EXCLUDE (n), pos AS n, {_SHOWN_RULE} AS text FROM kept), {_fold('shown', 0.4).replace('seq', 'seq2').replace('fold', 'fold2').replace('kept', 'kept2').replace(' AS pos', ' AS pos2')}, {_clusters('kept2', 0.4)} SELECT {', '.join(_CLUSTER_COLUMNS)} FROM linked")
+def rule_clusters(spark, d):
+    return mining.recurring_rules(V.cued(spark, d)).select(*_CLUSTER_COLUMNS)
+
+
 def _decision_sql(source: str = "cued") -> str:
     starts = []
     for p in P.DECISIONS:

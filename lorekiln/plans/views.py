@@ -71,12 +71,18 @@ def index(spark: SparkSession, sf_dir: str, vectored: bool = False) -> str:
     return _indexes[key]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has no more splits than there are cores: then it is small, and few of the splits hold a row group. Larger tables are read as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() > cores else rows.repartition(cores)
+
+
 def cued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole chunks after one of the phrases, and every third after a second."""
     d = F.col("id").cast("long")
     cue = lambda k: F.element_at(F.array(*map(F.lit, CUES)), (k % len(CUES) + 1).cast("int"))
     text = F.concat(cue(d), F.when(d % 3 == 0, cue(d * 7 + 3)).otherwise(""), F.col("content"))
-    return chunks(spark, sf_dir).withColumn("content", text)
+    return spread(chunks(spark, sf_dir)).withColumn("content", text)
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@ import random
 
 import pytest
 
-from lorekiln.operators import ingest, lifecycle, mining, search
+from lorekiln.operators import linking
+from pyspark.sql import functions as F
+
+from lorekiln.operators import ingest, lifecycle, linking, mining, search
 
 CHUNK = "id string, session_id string, project string, source string, git_branch string, content string, timestamp string, chunk_index int"
 
@@ -141,18 +144,47 @@ def greedy(signals, threshold):
     return groups
 
 
-def test_clusters_equal_a_plain_walk(spark):
-    rnd = random.Random(3)
+def _signals(spark, seed, size, n=150):
+    rnd = random.Random(seed)
     words = "timeout worker pool parser null config login upgrade socket driver".split()
-    df = chunks(spark, *[{"content": "error " + " ".join(rnd.sample(words, 4)), "session_id": f"s{rnd.randint(0, 30)}" if k % 9 else ""} for k in range(150)])
-    signals = mining.distinct_in_chunk(mining.problem_signals(df), 0.5)
+    df = chunks(spark, *[{"content": "error " + " ".join(rnd.sample(words, rnd.choice(size))), "session_id": f"s{rnd.randint(0, 30)}" if k % 9 else ""} for k in range(n)])
+    return df, mining.distinct_in_chunk(mining.problem_signals(df), 0.5)
+
+
+def test_walked_clusters_equal_a_plain_walk(spark):
+    _, signals = _signals(spark, 3, [4])
     rows = sorted(signals.collect(), key=lambda r: (r.timestamp, r.id, r.n))
-    want = [ids for _, ids in greedy(rows, 0.5)]
-    out = mining.clusters(signals, 0.5, min_sessions=0, top=1000).orderBy("cluster").collect()
-    assert [r.chunk_ids for r in out] == want
-    best = mining.recurring_problems(df, 3).collect()
-    assert [(-r.session_count, r.last_seen) for r in best] == sorted(((-r.session_count, r.last_seen) for r in best), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-    assert mining.clusters(signals.where("false"), 0.5).count() == 0
+    want = [len(ids) for _, ids in greedy(rows, 0.5)]
+    out = mining.walked_clusters(signals, 0.5, min_sessions=0, top=1000).orderBy("cluster").collect()
+    assert [r.signals for r in out] == want
+    assert mining.walked_clusters(signals.where("false"), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.8])
+def test_clusters_are_what_links_reach(spark, threshold):
+    _, signals = _signals(spark, 4, [2, 3, 4, 6], 90)
+    rows = signals.collect()
+    sets = {" ".join(r.tokens): set(r.tokens) for r in rows}
+    alike = lambda a, b: len(a & b) / len(a | b) >= threshold
+    links = {(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])}
+    prints = signals.select(F.array_join("tokens", " ").alias("fingerprint"), "tokens").distinct()
+    assert {tuple(r) for r in linking.links(prints, threshold).collect()} == links
+    root = {k: k for k in sets}
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    told = mining.members(signals, threshold)
+    assert {(r.id, r.n): r.cluster for r in told.collect()} == {(r.id, r.n): root[" ".join(r.tokens)] for r in rows}
+    out = mining.clusters(signals, threshold, min_sessions=1, top=1000).collect()
+    by = {c: [r for r in rows if root[" ".join(r.tokens)] == c] for c in set(root.values())}
+    sessions = {c: len({r.session_id for r in x} - {""}) for c, x in by.items()}
+    assert {r.cluster for r in out} == {c for c in by if sessions[c]}
+    for r in out:
+        mine = by[r.cluster]
+        assert (r.session_count, r.signals, r.fingerprint) == (sessions[r.cluster], len(mine), " ".join(sorted(set().union(*(x.tokens for x in mine)))))
+        assert r.example == min(mine, key=lambda x: (x.timestamp, x.id, x.n)).text and r.projects == sorted({x.project for x in mine} - {""})
+    assert [(-r.session_count, r.cluster) for r in out] == sorted((-r.session_count, r.cluster) for r in out) or len({r.last_seen for r in out}) > 1
+    assert mining.clusters(signals.where("false"), threshold).count() == 0
 
 
 def test_archiving(spark):
