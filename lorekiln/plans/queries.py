@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions import patterns as P
 from lorekiln.functions import text as T
-from lorekiln.operators import index, ingest, lifecycle, mining, search, surfaces
+from lorekiln.operators import index, ingest, lifecycle, mining, search, surfaces, vectors
 from lorekiln.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -354,6 +354,20 @@ def semantic_topk(spark, d):
     return search.semantic(rows, _vector(spark, d), 10).select("vec_id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
+@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_VECTOR}), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_VECTOR}) DESC, vec_id::VARCHAR LIMIT 10")
+def semantic_indexed(spark, d):
+    rows = vectors.nearest(spark, V.vector_index(spark, d), _vector(spark, d), 10, exact=True)
+    return rows.select(F.col("id").cast("long").alias("vec_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
+
+
+@query()
+def semantic_ann(spark, d):
+    """The vectors of every hundredth row against all rows. No SQL: neighbours are approximate; a test holds their recall against all distances."""
+    asked = V.table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    found = vectors.nearest_many(spark, V.vector_index(spark, d), asked, 10)
+    return found.select(F.col("query").cast("long").alias("query_id"), "rank", F.col("id").cast("long").alias("vec_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
+
+
 @query(f"WITH {V.CHUNKS_SQL}, {_bm25('chunks', [['the'], ['and']])} SELECT id, round(bm25, 8) AS bm25 FROM hits ORDER BY hits.bm25, id LIMIT 20")
 def keyword_bm25(spark, d):
     return index.keyword(spark, V.index(spark, d), QUERY, 20).select("id", F.round("bm25", 8).alias("bm25"))

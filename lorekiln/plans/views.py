@@ -5,14 +5,13 @@ What the tables lack (projects, branches, times) follows from ids by arithmetic
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekiln.operators import index as stored
+from lorekiln.operators import tables, vectors
 
 EPOCH = 1_704_067_200  # 2024-01-01
 SOURCES = ("alpha", "beta", "gamma", "delta", "epsilon")
@@ -46,29 +45,36 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_indexes: dict[tuple[str, str, bool], str] = {}
+_stored: dict[tuple[str, ...], str] = {}
+
+
+def _files(rows: DataFrame) -> str:
+    """What the files of a table are: another state of the table is another index."""
+    return hashlib.sha256("\n".join(sorted(str(tuple(r)) for r in rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect())).encode()).hexdigest()  # one row a file
+
+
+def _once(spark: SparkSession, name: str, source: DataFrame, write) -> str:
+    """The folder of an index of a table's present state, in the shared folder: built at an application's first search, gone when it ends."""
+    key = (spark.sparkContext.applicationId, name, _files(source))
+    if key not in _stored:
+        path = tables.folder(spark, name)
+        write(path)
+        _stored[key] = path
+    return _stored[key]
 
 
 def index(spark: SparkSession, sf_dir: str, vectored: bool = False) -> str:
-    """The stored index of the chunks, or of those that have a vector, as ingest keeps it: built at an application's first search, in the shared folder, gone when it ends."""
-    sc = spark.sparkContext
-    key = (sc.applicationId, sf_dir, vectored)
-    if key not in _indexes:
-        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-        if not base:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-            base = sc.getCheckpointDir()
-        path = f"{base.rstrip('/')}/lorekiln/index-{uuid.uuid4().hex}"
-        rows = chunks(spark, sf_dir)
-        if vectored:
-            rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id")), "id", "left_semi")
-        stored.write(rows, path)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-        _indexes[key] = path
-    return _indexes[key]
+    """The stored index of the chunks, or of those that have a vector, as ingest keeps it."""
+    rows = chunks(spark, sf_dir)
+    if vectored:
+        rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id")), "id", "left_semi")
+    return _once(spark, f"index-{'vectored' if vectored else 'all'}", table(spark, sf_dir, "documents"), lambda path: stored.write(rows, path))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> str:
+    """The stored vector index of all embeddings."""
+    source = table(spark, sf_dir, "embeddings")
+    return _once(spark, "vectors", source, lambda path: vectors.write(source.select(F.col("vec_id").cast("string").alias("id"), "embedding"), path))
 
 
 def spread(rows: DataFrame) -> DataFrame:
