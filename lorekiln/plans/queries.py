@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions import patterns as P
 from lorekiln.functions import text as T
-from lorekiln.operators import index, ingest, lifecycle, mining, search, surfaces, vectors
+from lorekiln.operators import index, ingest, lifecycle, mining, search, surfaces, tables, vectors
 from lorekiln.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,6 +213,37 @@ def index_postings(spark, d):
 # --- storage ---------------------------------------------------------------------------------------
 
 
+def _changed(spark: SparkSession, d: str) -> tuple[str, list[tuple[str, int]]]:
+    """An index of its own: two in three rows, then all of them appended, a language, a source of another and a session deleted, segments merged; and what each step counted."""
+    path, rows = tables.folder(spark, "changed"), V.chunks(spark, d)
+    steps = [("written", index.write(rows.where("id % 3 <> 0"), path)), ("appended", index.append(rows, path)), ("again", index.append(rows, path))]
+    steps += [("project", index.delete(spark, path, project="fr")), ("source", index.delete(spark, path, project="de", source="src3")), ("session", index.delete(spark, path, session_id="s3"))]
+    steps += [("merged", index.merge(spark, path, everything=True)), ("left", index.figures(spark, path)[0])]
+    return path, steps
+
+
+_LEFT = "left_over AS (SELECT * FROM chunks WHERE project <> 'fr' AND NOT (project = 'de' AND source = 'src3') AND session_id <> 's3')"
+
+
+@query(
+    f"""WITH {V.CHUNKS_SQL}, {_LEFT}, c AS (SELECT count(*) AS n, count(*) FILTER (id::BIGINT % 3 <> 0) AS w, count(*) FILTER (project = 'fr') AS p, count(*) FILTER (project = 'de' AND source = 'src3') AS s,
+      count(*) FILTER (session_id = 's3' AND project <> 'fr' AND NOT (project = 'de' AND source = 'src3')) AS e FROM chunks)
+    SELECT unnest(['written', 'appended', 'again', 'project', 'source', 'session', 'merged', 'left']) AS step, unnest([w, n - w, 0, p, s, e, 2, (SELECT count(*) FROM left_over)]) AS n FROM c"""
+)
+def index_change_counts(spark, d):
+    return spark.createDataFrame(_changed(spark, d)[1], "step string, n long")
+
+
+@query(f"WITH {V.CHUNKS_SQL}, {_LEFT}, {_bm25('left_over', [['the'], ['and']])} SELECT id, round(bm25, 8) AS bm25 FROM hits ORDER BY hits.bm25, id LIMIT 20")
+def keyword_after_changes(spark, d):
+    return index.keyword(spark, _changed(spark, d)[0], QUERY, 20).select("id", F.round("bm25", 8).alias("bm25"))
+
+
+@query(f"WITH {V.CHUNKS_SQL}, {_bm25('chunks', [['the']])} SELECT id, round(bm25, 8) AS bm25 FROM hits ORDER BY hits.bm25, id LIMIT 10")
+def keyword_one_word(spark, d):
+    return index.keyword(spark, V.index(spark, d), "the", 10).select("id", F.round("bm25", 8).alias("bm25"))
+
+
 @query(f"WITH {V.CHUNKS_SQL} SELECT project, count(*) AS n FROM chunks WHERE project <> 'fr' GROUP BY project")
 def delete_by_project(spark, d):
     return lifecycle.deleted(V.chunks(spark, d), project="fr").groupBy("project").agg(F.count("*").alias("n"))
