@@ -195,7 +195,8 @@ def features(sound: Sound) -> str:
 
 
 def with_media(docs: DataFrame, columns: list[str], text_col: str = "text", media_col: str = "media") -> DataFrame:
-    """The named columns of docs, and their text as an Ogg file."""
+    """The named columns of docs, and their text as an Ogg file. A named column called like the file's isn't carried."""
+    columns = [c for c in columns if c.lower() != media_col.lower()]
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     schema = StructType([*(docs.schema[c] for c in columns), StructField(media_col, BinaryType())])
@@ -215,7 +216,9 @@ READ = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long
 
 
 def demuxed(media: DataFrame, columns: list[str], media_col: str = "media", payload: bool = False) -> DataFrame:
-    """The named columns, what READ says of each row's file, and its payload if wanted."""
+    """The named columns, what READ says of each row's file, and its payload if wanted. Named columns called like one of these, or like the file's, aren't carried."""
+    taken = {x.split()[0] for x in READ.split(", ")} | {media_col.lower(), *(["payload"] if payload else [])}
+    columns = [c for c in columns if c.lower() not in taken]
     from pyspark.sql.types import StructType
 
     schema = StructType([*(media.schema[c] for c in columns), *StructType.fromDDL(READ + (", payload binary" if payload else "")).fields])

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorekiln.llm import ogg
 
@@ -54,15 +55,19 @@ def test_damage_is_found():
 
 def test_query_columns(spark):
     texts = [None, "", "a", "é" * 32, "x" * 64, "y" * 65, "long " * 60_000]
-    df = spark.createDataFrame([(k if k else None, t, "b", "m") for k, t in enumerate(texts)] + [(2, "a", "b", "m")], "doc_id long, text string, body string, media string").drop("media")
-    media = ogg.with_media(df, ["doc_id", "body"])
-    out = ogg.demuxed(media, ["doc_id", "body"], payload=True).collect()
+    df = spark.createDataFrame([(k if k else None, t, "b", "m") for k, t in enumerate(texts)] + [(2, "a", "b", "m")], "doc_id long, text string, body string, Media string").withColumn("feature", F.lit(1))
+    media = ogg.with_media(df, ["doc_id", "body", "Media", "feature"])
+    out = ogg.demuxed(media, ["doc_id", "body", "Media", "feature"], payload=True)
+    assert out.columns[:3] == ["doc_id", "body", "n_bytes"]
+    out = out.collect()
     assert len(out) == 8
     for r in out:
         raw = (texts[r.doc_id or 0] or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert bytes(r.payload) == payload
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.feature.startswith(f"seconds={len(payload) / 8000:.4f};")
+        x = [b - 128 for b in payload]
+        told = (len(x) / 8000, sum(x) / len(x), (sum(y * y for y in x) / len(x)) ** 0.5, sum((a < 0) != (b < 0) for a, b in zip(x, x[1:])))
+        assert r.feature == "seconds=%.4f;mean=%.6f;rms=%.6f;crossings=%d" % told
     assert len({r.media_sha256 for r in out if r.doc_id == 2}) == 1
     assert ogg.demuxed(ogg.with_media(df.limit(0), ["doc_id"]), ["doc_id"]).count() == 0
