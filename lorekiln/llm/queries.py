@@ -185,10 +185,8 @@ def _path(rest: str) -> str:
 
 
 def _vertex(rest: str) -> str:
-    host = f"regexp_replace(regexp_replace({_host(rest)}, '^(www|m)\\.', ''), ':(80|443)$', '')"
-    path = f"regexp_replace({_path(rest)}, '((/index)?\\.html?)?/*$', '')"
-    kept = f"list_sort(list_filter(string_split(regexp_extract({rest}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')))"
-    return f"CASE WHEN {host} <> '' THEN {host} || {path} || '?' || array_to_string({kept}, '&') END"
+    host, path = f"regexp_replace({_host(rest)}, ':(80|443)$', '')", _path(rest)
+    return f"CASE WHEN {host} <> '' THEN {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || '?' || regexp_extract({rest}, '^[^?#]*\\?([^#]*)', 1) END"
 
 
 def _quote(x: str) -> str:

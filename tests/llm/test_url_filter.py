@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from lorekiln.llm import queries, url_filter
 
 RULES = url_filter.RULES
@@ -51,7 +53,7 @@ BY_ALIAS = {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allo
 def test_rules_and_aliases(spark):
     df = spark.createDataFrame([(*r, "rule", "node") for r in ROWS], "page_id long, url string, html string, rule string, node string")
     redirects = spark.createDataFrame([("http://alias.example.net/from", "http://example.org/es/9"), (None, "x"), ("http://example.org/es/9", "http://alias.example.net/from/")], "from_url string, to_url string")
-    out = url_filter.judged(df.repartition(3), redirects=redirects).collect()
+    out = url_filter.judged(df.repartition(3), redirects=redirects, spellings=True).collect()
     assert len(out) == len(ROWS)
     urls = defaultdict(set)
     for i, u, _ in ROWS:
@@ -69,10 +71,10 @@ def test_rules_and_aliases(spark):
 def test_blocked_components_without_an_allowed_member(spark):
     rows = [(1, "http://a.net/1", "<link rel=canonical href='http://b.com/de/1'>"), (2, "http://b.com/de/1", ""), (3, "http://c.net/3", "<link rel=canonical href='http://a.net/1'>"), (4, "http://www.c.net/3/", ""), (5, "http://c.net/4", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r.page_id: r.verdict for r in url_filter.judged(df).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+    assert {r.page_id: r.verdict for r in url_filter.judged(df, spellings=True).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
     # one explicitly allowed alias goes before the block of the others, but not before a page's own rule
     df = df.union(spark.createDataFrame([(6, "http://ok.org/x", "<link rel=canonical href='http://c.net/3'>")], df.schema))
-    assert {r.page_id: r.verdict for r in url_filter.judged(df).collect()} == {1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
+    assert {r.page_id: r.verdict for r in url_filter.judged(df, spellings=True).collect()} == {1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
     assert url_filter.judged(df.limit(0)).count() == 0
 
 
@@ -80,7 +82,7 @@ def test_spellings_of_one_address(spark):
     same = ["http://x.net/a", "https://www.x.net/a/", "http://m.X.net:80/a.html#f", "http://x.net/a/index.html?utm_medium=1&ref=2", "x://x.net/a?"]
     other = ["http://x.net/b", "http://x.net/a?page=2", "http://y.x.net/a"]
     df = spark.createDataFrame([(u,) for u in same + other], "u string")
-    out = [r.v for r in df.select(url_filter.vertex(df.u).alias("v")).collect()]
+    out = [r.v for r in df.select(url_filter.vertex(df.u, spellings=True).alias("v")).collect()]
     assert len(set(out[: len(same)])) == 1 and len(set(out)) == 1 + len(other)
 
 
@@ -92,7 +94,7 @@ def test_rules_apply_to_addresses_that_are_no_pages(spark):
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     redirects = spark.createDataFrame([("http://e.net/5", "http://example.org/es/10"), ("http://example.org/en/1", "http://f.net/6")], "from_url string, to_url string")
-    out = {r.page_id: r.verdict for r in url_filter.judged(df, redirects=redirects).collect()}
+    out = {r.page_id: r.verdict for r in url_filter.judged(df, redirects=redirects, spellings=True).collect()}
     assert out == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "block"}
 
 
@@ -102,7 +104,7 @@ def test_all_links_of_a_page_and_entities_in_them(spark):
         (2, "http://c.net/q?a=1&b=2", ""), (3, "http://d.com/de/2", '<link rel="canonical" href="http://c.net/q?b=2&amp;a=1">'),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r.page_id: r.verdict for r in url_filter.judged(df).collect()} == {1: "block", 2: "block", 3: "block"}
+    assert {r.page_id: r.verdict for r in url_filter.judged(df, spellings=True).collect()} == {1: "block", 2: "block", 3: "block"}
 
 
 def test_the_query_equals_its_sql_on_pages_with_links(spark, tmp_path):
@@ -129,3 +131,14 @@ def test_the_query_equals_its_sql_on_pages_with_links(spark, tmp_path):
         want = sorted(db.sql(f"SELECT page_id, host, path, rule, verdict FROM ({queries.op10_sql()})").fetchall())
     assert [tuple(str(x) for x in r) for r in got] == [tuple(str(x) for x in r) for r in want]
     assert {r[4] for r in got} == {"allow", "block"} and sum(r[4] == "block" and r[3] is None for r in got) > 10
+
+
+def test_only_links_join_addresses(spark):
+    rows = [
+        (1, "http://m.net/p", "<link rel=canonical href='http://b.com/de/1'>"), (2, "http://net/p", ""), (3, "http://c.net/x.html?ref=1", "<link rel=canonical href='http://b.com/de/1'>"), (4, "http://c.net/x/index.html", ""),
+        (5, "https://M.NET:443/p#top", ""), (6, "http://m.net/p?", ""), (7, "http://m.net/p?a=1", ""), (8, "http://www.m.net/p", ""), (9, "http://d.net", "<link rel=canonical href='http://b.com/de/1'>"), (10, "http://d.net/", ""),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id for r in url_filter.judged(df).collect() if r.verdict == "block"} == {1, 3, 5, 6, 9, 10}
+    odd = [r.v for r in spark.createDataFrame([("http://m.net/p",), ("http://net/p",), ("http://m.x.net/p",), ("http://x.net/p/",)], "u string").select(url_filter.vertex(F.col("u"), spellings=True).alias("v")).collect()]
+    assert odd[0] != odd[1] and odd[2] == odd[3]
