@@ -6,7 +6,8 @@ named (a tag, a grant, a name with its version, a name alone) are put together f
 keyword, a literal that stands at a word's beginning in whatever the rule can match. One expression over all keywords, as a tree of
 prefixes, lets most texts go; on the rest, a keyword's rules are tried only if it stands there and one
 expression over all its rules finds something. Detections that lie within another one of higher priority,
-or of the same and longer or of an earlier rule, are suppressed.
+or of the same and longer or of an earlier rule, are suppressed. So a grant that is denied ("not released under the GPL") hides what it names. Names that are
+words of their own (epl, mpl, apache) say nothing alone or before a lone number: a grant, "license", "version" or a whole number must stand by them.
 
 Suppression is a fold over the detections by start and falling end: a detection lies within an earlier one of
 at least its priority exactly if the furthest end met at that priority reaches its own. The state is one
@@ -44,13 +45,13 @@ LICENSES = (
     ("mit", (), True, {"mit licen": f"mit {_L}"}),
     ("expat", (), True, {"expat licen": f"expat {_L}"}),
     ("isc", (), True, {"isc licen": f"isc {_L}"}),
-    ("bsd-2-clause", (), True, {"bsd 2 clause": f"bsd 2 clause(?: {_L})?", "2 clause bsd": f"2 clause bsd(?: {_L})?", "simplified bsd": f"simplified bsd(?: {_L})?", "freebsd": f"freebsd(?: {_L})?"}),
+    ("bsd-2-clause", (), True, {"bsd 2 clause": f"bsd 2 clause(?: {_L})?", "2 clause bsd": f"2 clause bsd(?: {_L})?", "simplified bsd": f"simplified bsd(?: {_L})?", "freebsd licen": f"freebsd {_L}"}),
     ("bsd-3-clause", (), True, {"bsd 3 clause": f"bsd 3 clause(?: {_L})?", "3 clause bsd": f"3 clause bsd(?: {_L})?", "new bsd": f"new bsd {_L}", "modified bsd": f"modified bsd(?: {_L})?", "revised bsd": f"revised bsd(?: {_L})?"}),
     ("bsd-4-clause", (), True, {"bsd 4 clause": f"bsd 4 clause(?: {_L})?", "4 clause bsd": f"4 clause bsd(?: {_L})?", "original bsd": f"original bsd(?: {_L})?"}),
     ("bsd", (), True, {"bsd licen": f"bsd {_L}", "bsd style": f"bsd style(?: {_L})?"}),
     ("0bsd", (), True, {"0bsd": "0bsd", "zero clause bsd": "zero clause bsd"}),
-    ("mpl", ("1.0", "1.1", "2.0"), True, {"mpl": "mpl", "mozilla public": f"mozilla public(?: {_L})?"}),
-    ("epl", ("1.0", "2.0"), True, {"epl": "epl", "eclipse public": f"eclipse public {_L}"}),
+    ("mpl", ("1.0", "1.1", "2.0"), False, {"mpl": "mpl", "mozilla public": f"mozilla public(?: {_L})?"}),
+    ("epl", ("1.0", "2.0"), False, {"epl": "epl", "eclipse public": f"eclipse public {_L}"}),
     ("cpl", ("1.0",), True, {"common public licen": f"common public {_L}"}),
     ("cddl", ("1.0", "1.1"), True, {"cddl": "cddl", "common development and distribution": f"common development and distribution {_L}"}),
     ("eupl", ("1.0", "1.1", "1.2"), True, {"eupl": "eupl", "european union public": f"european union public {_L}"}),
@@ -75,7 +76,7 @@ LICENSES = (
     ("unlicense", (), True, {"unlicense": "(?:the )?unlicense"}),
     ("wtfpl", (), True, {"wtfpl": "wtfpl"}),
     ("cc0", ("1.0",), True, {"cc0": "cc0", "creative commons zero": "creative commons zero"}),
-    ("public-domain", (), True, {"the public domain": "(?:in|into|to) the public domain"}),
+    ("public-domain", (), True, {"the public domain": "(?:is|are|be|been|was|now|work|software|code|file|placed|put|released|dedicated|entered|enters|fell|falls|passed) (?:in|into|to) the public domain"}),
     ("odbl", ("1.0",), True, {"odbl": "odbl", "open database licen": f"open database {_L}"}),
     ("odc-by", ("1.0",), True, {"odc by": "odc by", "open data commons attribution": f"open data commons attribution {_L}"}),
     ("pddl", ("1.0",), True, {"pddl": "pddl", "public domain dedication and": f"public domain dedication and {_L}"}),
@@ -86,8 +87,11 @@ LICENSES = (
     ("cc-by-nc-sa", ("1.0", "2.0", "2.5", "3.0", "4.0"), True, {"cc by nc sa": "cc by nc sa", "creative commons attribution": "creative commons attribution non ?commercial share ?alike"}),
     ("cc-by-nc-nd", ("1.0", "2.0", "2.5", "3.0", "4.0"), True, {"cc by nc nd": "cc by nc nd", "creative commons attribution": "creative commons attribution non ?commercial no ?deriv(?:ative)?s?"}),
 )
-NAME, GRANT, VERSION, VERSION_GRANT, BODY, TAG = PRIORITIES = (10, 20, 30, 40, 45, 50)
-_BY = "(?:licen[cs]ed|released|distributed|available|published|covered|provided) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
+NAME, GRANT, VERSION, VERSION_GRANT, BODY, TAG, NEGATION = PRIORITIES = (10, 20, 30, 40, 45, 50, 60)
+_BY = "(?:(?:licen[cs]ed|released|distributed|available|published|covered|provided) under|covered by|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
+_NOT = "(?:not|never|neither|isn t|aren t|wasn t|weren t|no longer|cannot be|can t be) (?:yet |be |been |being )?"
+#: Label of a negated grant: it keeps what lies within it from counting, and counts for nothing itself.
+NEGATED = "negated"
 _YEAR = "(?:19|20)[0-9]{2}"
 _WHO = "[^ ©0-9]+"
 #: Written by hand: label, priority, keyword, expression.
@@ -135,7 +139,6 @@ SIGNATURES = (
     ("apache-2.0", GRANT, "apache org licenses", "apache org licenses license 2 0(?: html| txt)?"),
     ("apache-2.0", BODY, "apache license version 2 0 january", "apache license version 2 0 january 2004"),
     ("apache-2.0", VERSION, "asl 2", "asl 2 0"),
-    ("apache-2.0", VERSION, "al2", "al2(?: 0)?"),
     ("apache-1.1", BODY, "this product includes software developed by the apache", "this product includes software developed by the apache software foundation"),
     ("apache", GRANT, "licensed to the apache software", "licensed to the apache software foundation asf under one or more contributor license agreements"),
     # GNU family
@@ -234,21 +237,29 @@ def rules() -> list[tuple[str, str, str, int]]:
     out = [(word, expression, label, priority) for label, priority, word, expression in SIGNATURES]
     for label, versions, enough, names in LICENSES:
         plain = label.replace("-", " ")
+        later = "(?: or (?:any )?later(?: version)?)?"
         for v in versions:
-            digits = v.replace(".", " ") if not v.endswith(".0") else f"{v[:-2]}(?: 0)?"
+            whole = v.replace(".", " ")
+            digits = whole if not v.endswith(".0") else f"{v[:-2]}(?: 0)?"
             tag = f"{label}-{v}"
-            out.append((f"identifier {plain}", f"spdx {_L} identifier {plain} {v.replace('.', ' ')}(?: (?:only|or later))?", tag, TAG))
+            out.append((f"identifier {plain}", f"spdx {_L} identifier {plain} {whole}(?: (?:only|or later))?", tag, TAG))
             for word, name in names.items():
-                exact = f"{name}(?: {_L})?(?: version| ver| v)? v?{digits}"
+                told = f"(?: {_L}(?: version| ver| v)?| version| ver| v) v?{digits}"
+                exact = f"{name}(?: {_L})?(?: version| ver| v)? v?{digits}" if enough else f"{name}(?:{told}| v?{whole}| v{digits})"
                 if word == label:  # a name of one word has its version glued to it as well: gplv2, lgpl2.1
-                    exact = f"(?:{exact}|{name}v?{digits})"
-                out.append((word, _BY + exact + f"(?: {_L})?(?: or (?:any )?later(?: version)?)?", tag, VERSION_GRANT))
-                out.append((word, exact + "(?: or (?:any )?later(?: version)?)?", tag, VERSION))
+                    exact = f"(?:{exact}|{name}v?{digits if enough else whole}|{name}v{digits})"
+                granted = exact if enough else f"{name}(?: {_L})?(?: version| ver| v)? v?{digits}"
+                out.append((word, _BY + granted + f"(?: {_L})?" + later, tag, VERSION_GRANT))
+                out.append((word, exact + later, tag, VERSION))
         out.append((f"identifier {plain}", f"spdx {_L} identifier {plain}", label, TAG))
+        numbers = f"(?: {_L})?(?: version| ver| v)?(?: v?[0-9](?: [0-9])?)?(?: {_L})?" + later
         for word, name in names.items():
             out.append((word, _BY + name, label, GRANT))
+            out.append((word, _NOT + _BY + name + numbers, NEGATED, NEGATION))
             if enough:
                 out.append((word, name, label, NAME))
+            else:
+                out.append((word, f"{name} {_L}", label, NAME))
     return out
 
 
@@ -338,12 +349,12 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(*[F.when(prio >= p, F.greatest(acc[f"e{p}"], end)).otherwise(acc[f"e{p}"]).alias(f"e{p}") for p in PRIORITIES], kept.alias("kept"))
 
     out = out.withColumn(fold, F.when(F.size(dets) > 0, F.aggregate(F.col(dets), start, step, lambda acc: acc["kept"])))
-    detections = F.coalesce(F.col(fold), F.array().cast("array<struct<label:string,priority:int,first:int,last:int,n:int>>"))
+    detections = F.filter(F.coalesce(F.col(fold), F.array().cast("array<struct<label:string,priority:int,first:int,last:int,n:int>>")), lambda k: k["label"] != NEGATED)
     top = F.array_max(F.transform(detections, lambda k: k["priority"]))
     out = out.withColumns({
         "base_labels": F.array_join(found_base, ","),
         "labels": F.array_join(F.array_sort(F.array_union(found_base, F.transform(detections, lambda k: k["label"]))), ","),
-        "score": F.greatest(F.coalesce(top, F.lit(0)) / max(PRIORITIES), F.when(F.col("n_base") > 0, F.lit(0.2)).otherwise(F.lit(0.0))),
+        "score": F.greatest(F.coalesce(top, F.lit(0)) / TAG, F.when(F.col("n_base") > 0, F.lit(0.2)).otherwise(F.lit(0.0))),
         "detections": detections,
     })
     return out.select(*[F.col(f"`{c}`") for c in own], "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
