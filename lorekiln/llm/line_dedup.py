@@ -190,13 +190,18 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, columns: list[str], keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The named columns of docs, and `keep`: null for documents that lose nothing.
 
-    The bitmaps of a partition are hashed and the texts stream past them, so no text is sorted or held.
+    A filter of bounded size over (id, text hash) lets go by what surely has no bitmap: those texts don't leave the scan. The others, with few
+    in vain until the filter fills up, meet their bitmaps by a hash join: the bitmaps of a partition are hashed and the texts stream past them, so no text is sorted or held.
     """
-    i, v = shared.fresh([*columns, keep], "i", "v")
+    i, v, h, may = shared.fresh([*columns, keep], "i", "v", "h", "may")
+    bitmaps = shared.cut(bitmaps, "bitmaps")
+    words = shared.filter_words(bitmaps.select(F.xxhash64("i", "v").alias("h")), "h")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     left = docs.select(*[F.col(f"`{c}`") for c in columns], shared.id_or_lowest(id_col).alias(i), F.xxhash64(text).alias(v))
+    left = shared.marked(left.withColumn(h, F.xxhash64(i, v)), words, h, may)
     right = bitmaps.select(F.col("i").alias(i), F.col("v").alias(v), F.col("keep").alias(keep))
-    return left.join(right.hint("shuffle_hash"), [i, v], "left").drop(i, v)
+    met = left.where(may).join(right.hint("shuffle_hash"), [i, v], "left").drop(i, v, h, may)
+    return left.where(~F.col(may)).drop(i, v, h, may).withColumn(keep, F.lit(None).cast("binary")).union(met)
 
 
 @F.arrow_udf(StructType([StructField("t", StringType()), StructField("n", LongType())]))

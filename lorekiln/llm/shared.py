@@ -134,3 +134,28 @@ def fresh(taken: list[str], *names: str) -> list[str]:
         used.add(name.lower())
         out.append(name)
     return out
+
+
+#: Bits of a filter over hashes: its words, this / 64 at the most whatever the input, are what is broadcast.
+FILTER_BITS = 1 << 24
+
+
+def _place(h: Column) -> Column:
+    return F.pmod(F.xxhash64(h), F.lit(FILTER_BITS))
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), _place(h).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def filter_words(hashes: DataFrame, h: str) -> DataFrame:
+    """The words of a filter that has a bit for each of the hashes."""
+    return hashes.select(F.shiftright(_place(F.col(h)), 6).alias("word"), _bit(F.col(h)).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def marked(rows: DataFrame, words: DataFrame, h: str, name: str) -> DataFrame:
+    """rows with `name`: whether the filter may have the row's hash. False is certain; the more hashes it has, the more rows are true in vain."""
+    word, bits = fresh([*rows.columns, name], "word", "bits")
+    sent = F.broadcast(words.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    out = rows.join(sent, F.shiftright(_place(F.col(h)), 6) == F.col(word), "left")
+    return out.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(_bit(F.col(h))) != 0, F.lit(False))).drop(word, bits)
