@@ -8,7 +8,8 @@ score reaches THRESHOLD. Both models are taken at the target's size and smoothed
 a bucket, so a bucket of which the target would hold few n-grams says little: clean documents outside
 the trusted set don't suffer from their rare words, however small that set is. Nothing is drawn at random: equal input, equal verdict.
 
-Both passes are one scan each, and the first deals the distinct texts out by hash; the histograms are added up by bucket, so what is gathered is
+The first pass counts texts where they are scanned; only texts that have copies are moved, to be folded, and a scan before it tells which by their hashes. The second
+pass is one scan. The histograms are added up by bucket, so what is gathered is
 BUCKETS rows at any input size.
 
 Defined cases: a null or empty text has no words, so it fails the surface rule; a null id is carried
@@ -79,9 +80,15 @@ def histograms(docs: DataFrame, trusted: list[int], n_buckets: int = BUCKETS, id
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
     ids = docs.sparkSession.createDataFrame([(int(i), True) for i in sorted(trusted)], "i long, good boolean")
-    rows = docs.select(shared.id_or_lowest(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), "i", "left")
-    # copies are folded before they are dealt out, so a text that makes much of the corpus weighs no more than another
-    rows = rows.groupBy(F.md5("t").alias("h")).agg(F.first("t").alias("t"), F.coalesce(F.max("good"), F.lit(False)).alias("good")).drop("h")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(shared.id_or_lowest(id_col).alias("i"), text.alias("t"), F.xxhash64(text).alias("x")).join(F.broadcast(ids), "i", "left")
+    # a text that has copies is folded before it is dealt out, so one that makes much of the corpus weighs no more than another; the others, which a filter
+    # over the hashes met twice tells, are counted where they are scanned
+    twice = docs.select(F.xxhash64(text).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = shared.marked(rows, shared.filter_words(shared.cut(twice.select("x"), "copied-texts"), "x"), "x", "may")
+    good = F.coalesce("good", F.lit(False))
+    folded = rows.where("may").groupBy(F.md5("t").alias("h")).agg(F.first("t").alias("t"), F.max(good).alias("good")).drop("h")
+    rows = rows.where("NOT may").select("t", good.alias("good")).union(folded)
     parts = rows.mapInArrow(count, "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
