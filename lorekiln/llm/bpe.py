@@ -68,10 +68,6 @@ class Bpe:
         self.cut_added = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")").split if added else lambda t: [t]
         self.usual_pieces, self.unusual = re.compile(token_files.pieces()).findall, re.compile(f"[^{token_files.USUAL}]").search
         self.memo: dict[str, bytes] = {}
-        to_byte = {c: b for b, c in enumerate(alphabet)}
-        self.strings = [b""] * (1 + max([*vocab.values(), *self.added.values()]))
-        for token, k in [*vocab.items(), *self.added.items()]:
-            self.strings[k] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, by rank and then from the left."""
@@ -128,15 +124,31 @@ class Bpe:
         parts = self.cut_added(text)
         return b"".join(array("i", [self.added[x]]).tobytes() if k % 2 else self._segment(x) for k, x in enumerate(parts) if x)
 
-    def decode(self, ids: list[int | None]) -> str:
-        strings, n = self.strings, len(self.strings)
-        try:
-            found = b"".join(map(strings.__getitem__, ids)) if not ids or min(ids) >= 0 else None
-        except (IndexError, TypeError):
-            found = None
-        if found is None:
-            found = b"".join(strings[k] for k in ids if k is not None and 0 <= k < n)
-        return found.decode("utf-8", "replace")
+def vocabulary(path: str) -> list[bytes]:
+    """The bytes of each id. Read from the file alone: what decodes needs neither merges nor the library."""
+    if path not in _strings:
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        known = [*form["model"]["vocab"].items(), *((x["content"], x["id"]) for x in form.get("added_tokens", []))]
+        to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+        strings = [b""] * (1 + max(k for _, k in known))
+        for token, k in known:
+            strings[k] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
+        _strings[path] = strings
+    return _strings[path]
+
+
+_strings: dict[str, list[bytes]] = {}
+
+
+def text_of(strings: list[bytes], ids: list[int | None]) -> str:
+    try:
+        found = b"".join(map(strings.__getitem__, ids)) if not ids or min(ids) >= 0 else None
+    except (IndexError, TypeError):
+        found = None
+    if found is None:
+        found = b"".join(strings[k] for k in ids if k is not None and 0 <= k < len(strings))
+    return found.decode("utf-8", "replace")
 
 
 _loaded: dict[str, Bpe] = {}
@@ -183,12 +195,12 @@ def decoded(tokens: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_c
     at = next(k for k, c in enumerate(tokens.columns) if c.lower() == ids_col.lower())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(tokenizer_path)
+        strings = vocabulary(tokenizer_path)
         for batch in batches:
             step = max(1, (shared.SLICE_BYTES * max(1, batch.num_rows)) // max(1, batch.column(at).nbytes))
             for k in range(0, batch.num_rows, step):
                 part = batch.slice(k, step)
-                texts = [None if ids is None else bpe.decode(ids) for ids in _lists(part.column(at))]
+                texts = [None if ids is None else text_of(strings, ids) for ids in _lists(part.column(at))]
                 yield _with(part, out, pa.array(texts, pa.string()))
 
     made = tokens.mapInArrow(each, StructType([*tokens.schema, StructField(out, StringType())]))

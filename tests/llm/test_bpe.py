@@ -45,17 +45,17 @@ def test_equals_the_library_and_a_plain_scan(monkeypatch, size):
     for t in texts:
         ids = encode(made, t)
         assert ids == of_library(t), t
-        assert made.decode(ids) == t == LIBRARY.decode(ids, skip_special_tokens=False)
+        assert bpe.text_of(bpe.vocabulary(PATH), ids) == t == LIBRARY.decode(ids, skip_special_tokens=False)
         if t not in ADDED:
             assert ids == in_rank_order(t)
 
 
 def test_decoding_of_any_ids_is_the_librarys():
-    rnd, made = random.Random(2), bpe.loaded(PATH)
+    rnd = random.Random(2)
     for _ in range(1500):
         ids = [rnd.randrange(50_300) for _ in range(rnd.randint(0, 30))]
-        assert made.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
-    assert made.decode([72, None, -1, 10**6, 73]) == made.decode([72, 73])
+        assert bpe.text_of(bpe.vocabulary(PATH), ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+    assert bpe.text_of(bpe.vocabulary(PATH), [72, None, -1, 10**6, 73]) == bpe.text_of(bpe.vocabulary(PATH), [72, 73])
 
 
 def test_a_word_of_a_megabyte():
@@ -80,7 +80,7 @@ def test_rows(spark):
     assert sorted(map(tuple, whole.select("doc_id", "T", "text").collect()), key=key) == sorted(((i, x, t or "") for i, t, _, x in rows), key=key)
     assert bpe.encoded(docs.limit(0), PATH).count() == 0 and bpe.decoded(ids.limit(0), PATH).count() == 0
     odd = spark.createDataFrame([(1, None, "old"), (2, [], "old"), (3, [72, None, 99999999, -4, 73], "old")], "k int, ids array<int>, text string")
-    assert sorted(map(tuple, bpe.decoded(odd, PATH).select("k", "text").collect())) == [(1, None), (2, ""), (3, bpe.loaded(PATH).decode([72, 73]))]
+    assert sorted(map(tuple, bpe.decoded(odd, PATH).select("k", "text").collect())) == [(1, None), (2, ""), (3, bpe.text_of(bpe.vocabulary(PATH), [72, 73]))]
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the test tables aren't here")
