@@ -7,6 +7,8 @@ timestamp, chunk_index.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -108,11 +110,32 @@ def ingest_stats(chunks: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The rows of a store, with the types they were written with; empty where there is none."""
+    """The rows of a store, with the columns and types they were written with; empty where there is none. A rewrite that died between its renames is undone first."""
+    store, at = _store(spark, path)
+    if not store.exists(at):
+        kept = sorted(str(f.getPath()) for f in store.globStatus(at.suffix(".old-*")) or [])
+        if not kept:
+            return spark.createDataFrame([], schema)
+        store.rename(_store(spark, kept[-1])[1], at)
+    return spark.read.schema(schema).parquet(path).select(schema.names)
+
+
+def _store(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def rewrite(rows: DataFrame, path: str) -> None:
+    """Makes rows all that the store has. They are written beside it whole, then take its place by renames; until these the store is as it was."""
+    spark, tag = rows.sparkSession, uuid.uuid4().hex
+    store, at = _store(spark, path)
+    made, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
+    rows.withColumn("in_project", F.col("project")).write.partitionBy("in_project").parquet(made)
+    if store.exists(at) and not store.rename(at, _store(spark, old)[1]):
+        raise OSError(f"{path} couldn't be put aside")
+    if not store.rename(_store(spark, made)[1], at):
+        raise OSError(f"{made} couldn't take the place of {path}")
+    store.delete(_store(spark, old)[1], True)
 
 
 def append(chunks: DataFrame, path: str, refresh: bool = False) -> int:
@@ -122,7 +145,7 @@ def append(chunks: DataFrame, path: str, refresh: bool = False) -> int:
     empty or a null project come back as they were.
     """
     if refresh:
-        raise ValueError("a store of files is only appended to; use lifecycle.rewrite for changed rows")
+        raise ValueError("an append changes no rows; ingest.rewrite does")
     added = Observation()
     new = new_rows(chunks, stored(chunks.sparkSession, path, chunks.schema)).select(chunks.columns)
     new = new.observe(added, F.count(F.lit(1)).alias("n")).withColumn("in_project", F.col("project"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lorekiln.functions import text as T
+from lorekiln.operators import ingest
 from lorekiln.operators.ingest import keywords
 
 ARCHIVED = "-archived"
@@ -48,7 +50,8 @@ def rollup(chunks: DataFrame) -> DataFrame:
 
 
 def candidates(chunks: DataFrame, cutoff: str) -> DataFrame:
-    return rollup(chunks).where(~F.col("archived") & (F.col("max_ts") != "") & (F.col("max_ts") < cutoff))
+    """Sessions whose last chunk is older than the cutoff. Chunks without a session belong to none; archived sessions, and those without a time, stay."""
+    return rollup(chunks).where("coalesce(session_id, '') <> ''").where(~F.col("archived") & (F.col("max_ts") != "") & (F.col("max_ts") < cutoff))
 
 
 def condensed(chunks: DataFrame, sessions: DataFrame, topics: int = 8, most: int = 200) -> DataFrame:
@@ -86,8 +89,40 @@ def archive_stats(chunks: DataFrame, cutoff: str) -> DataFrame:
     return old.agg(F.count("*").alias("sessions_archived"), F.coalesce(F.sum("n_chunks"), F.lit(0).cast("long")).alias("chunks_before"), F.count("*").alias("chunks_after"), F.coalesce(F.sum("n_chars"), F.lit(0).cast("long")).alias("chars_before")).withColumn("chars_after", after)
 
 
+def archive_counters(chunks: DataFrame, cutoff: str) -> DataFrame:
+    """One row: what archiving does, or would do."""
+    old = candidates(chunks, cutoff)
+    seen = rollup(chunks).where("coalesce(session_id, '') <> ''").agg(F.count("*").alias("sessions_considered"), F.count_if("archived").alias("sessions_already_archived"))
+    gone = old.agg(F.count("*").alias("sessions_archived"), F.coalesce(F.sum("n_chunks"), F.lit(0).cast("long")).alias("chunks_removed"), F.coalesce(F.sum("n_chars"), F.lit(0).cast("long")).alias("bytes_before"))
+    made = condensed(chunks, old).agg(F.count("*").alias("chunks_added"), F.coalesce(F.sum(F.length("content")), F.lit(0).cast("long")).alias("bytes_after"))
+    told = {c: of.select(c).scalar() for of in (gone, made) for c in of.columns}
+    out = seen.withColumns(told)
+    return out.select("sessions_considered", "sessions_archived", "sessions_already_archived", "chunks_removed", "chunks_added", "bytes_before", "bytes_after")
+
+
+def archive(spark: SparkSession, path: str, schema: StructType, cutoff: str, project: str | None = None, dry_run: bool = False) -> dict[str, int]:
+    """Archives old sessions of a store (or of one project) and writes it, unless dry_run; the counters. A second run finds nothing to do."""
+    rows = ingest.stored(spark, path, schema)
+    mine = rows.where(F.col("project") == project) if project else rows
+    counted = archive_counters(mine, cutoff).first().asDict()
+    if counted["sessions_archived"] and not dry_run:
+        new = archived(mine, cutoff)
+        ingest.rewrite(new.unionByName(rows.where(~F.col("project").eqNullSafe(project))) if project else new, path)
+    return counted
+
+
+def delete(spark: SparkSession, path: str, schema: StructType, **which: object) -> int:
+    """Deletes rows of a store as `deleted` says, and writes it; how many went."""
+    rows = ingest.stored(spark, path, schema)
+    left = deleted(rows, **which)
+    gone = rows.count() - left.count()
+    if gone:
+        ingest.rewrite(left, path)
+    return gone
+
+
 def exported(chunks: DataFrame, project: str | None = None) -> DataFrame:
-    """One JSON object a row, in a total order."""
+    """id, and one JSON object a row."""
     rows = chunks.where(F.col("project") == project) if project else chunks
     return rows.select("id", F.to_json(F.struct("id", "content", "session_id", "project", "source", "timestamp", "chunk_index")).alias("json"))
 

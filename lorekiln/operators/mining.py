@@ -239,3 +239,11 @@ def recurring_problems(chunks: DataFrame, min_sessions: int = 3, top: int = 20)
 
 def recurring_rules(chunks: DataFrame, min_sessions: int = 3, top: int = 20) -> DataFrame:
     return clusters(distinct_in_chunk(rules(chunks), 0.4), 0.4, min_sessions, top)
+
+
+def least_sessions(value: object = 3) -> int:
+    """How many sessions a caller wants a cluster to be met in: 2 to 20, and 3 for what is no number."""
+    try:
+        return max(2, min(int(value), 20))
+    except (TypeError, ValueError):
+        return 3

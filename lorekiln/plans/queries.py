@@ -770,6 +770,15 @@ def archive_stats(spark, d):
     return lifecycle.archive_stats(V.chunks(spark, d), CUTOFF)
 
 
+@query(
+    f"""WITH {_CONDENSED}, every AS (SELECT session_id, bool_or(ends_with(id, '-archived')) AS done FROM chunks WHERE coalesce(session_id, '') <> '' GROUP BY session_id)
+    SELECT (SELECT count(*) FROM every) AS sessions_considered, count(*) AS sessions_archived, (SELECT count(*) FROM every WHERE done) AS sessions_already_archived, coalesce(sum(n_chunks), 0)::BIGINT AS chunks_removed,
+      count(*) AS chunks_added, coalesce(sum(n_chars), 0)::BIGINT AS bytes_before, (SELECT coalesce(sum(length(content)), 0)::BIGINT FROM condensed) AS bytes_after FROM old"""
+)
+def archive_counters(spark, d):
+    return lifecycle.archive_counters(V.chunks(spark, d), CUTOFF)
+
+
 # --- event-like rows -------------------------------------------------------------------------------
 
 
