@@ -120,3 +120,51 @@ def test_key_value_database(spark, tmp_path):
     assert set(out) == {"c1", "c2"}
     assert (out["c1"].project, out["c2"].project, out["c1"].summary, out["c1"].started_at) == ("mine", "other", "Name", "2023-11-14T22:13:20+00:00")
     assert turns(out["c1"]) == [("human", "hi", "2023-11-14T22:13:20+00:00", []), ("assistant", "hello", "2023-11-14T22:13:21+00:00", [])]
+
+
+def test_large_logs_are_read_in_ranges(spark, tmp_path):
+    """A log of many ranges: every line has its number, lines of other bytes than UTF-8 stay, and turns come in the order of the file."""
+    import random
+
+    rng = random.Random(5)
+    texts = ["x" * rng.choice([0, 1, 7, 900, 9000]) + str(i) for i in range(600)]
+    put(tmp_path / "a b+c%20" / "long.jsonl", *({"type": "user" if i % 2 else "assistant", "timestamp": f"t{i:04}", "sessionId": "s", "message": {"content": t}} if i % 10 else "" for i, t in enumerate(texts)))
+    put(tmp_path / "a b+c%20" / "short.jsonl", {"type": "user", "timestamp": "t", "message": {"content": "hi"}})
+    (tmp_path / "a b+c%20" / "none.jsonl").write_text("")
+    (tmp_path / "a b+c%20" / "odd.jsonl").write_bytes(b'\xff\n{"type": "user", "message": {"content": "\xc3\xa9\xff"}}\n')
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = logs.lines(spark, str(tmp_path), "*.jsonl")
+        assert rows.where("path LIKE '%long%'").select("block").distinct().count() > 20
+        numbers = {}
+        for r in logs.numbered(rows).collect():
+            numbers.setdefault(r.path.rsplit("/", 1)[1], {})[r.line] = r.raw
+        for name, got in numbers.items():
+            want = (tmp_path / "a b+c%20" / name).read_bytes().decode(errors="replace").split("\n")
+            assert [got[i] for i in range(len(got))] == want[: len(got)] and want[len(got) :] in ([], [""])
+        assert set(numbers) == {"long.jsonl", "short.jsonl", "odd.jsonl"}
+        out = {r.session_id: r for r in logs.session_jsonl(spark, str(tmp_path)).collect()}
+        assert [x.content for x in out["s"].exchanges] == [t for i, t in enumerate(texts) if i % 10]
+        assert [x.n for x in out["s"].exchanges] == list(range(540)) and out["odd"].exchanges[0].content == "é�"
+        turned = logs.session_turns(spark, str(tmp_path))
+        assert [(r.n, r.content, r.started_at) for r in turned.where("session_id = 's'").orderBy("n").collect()] == [(i, t, "t0001") for i, t in enumerate(texts) if i % 10]
+        whole = ingest.chunks(parsing.exchange_rows(logs.session_jsonl(spark, str(tmp_path))))
+        assert sorted(map(tuple, ingest.chunks(turned).collect())) == sorted(map(tuple, whole.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_unchanged_files_are_not_opened(spark, tmp_path):
+    """A file that can't be read ends the job if it is opened; it isn't if it hasn't changed."""
+    import os
+
+    import pytest
+
+    put(tmp_path / "new.jsonl", "one", "two")
+    (tmp_path / "old.jsonl.gz").write_bytes(b"no archive")
+    os.utime(tmp_path / "old.jsonl.gz", (1e9, 1e9))
+    with pytest.raises(Exception, match="gzip|GZIP|incorrect header"):
+        logs.lines(spark, str(tmp_path), "*.jsonl*").collect()
+    assert [r.raw for r in logs.lines(spark, str(tmp_path), "*.jsonl*", since=1e9).collect()] == ["one", "two"]
+    assert [r.raw for r in logs.lines(spark, str(tmp_path), "*.jsonl*", without="old.").collect()] == ["one", "two"]
