@@ -50,15 +50,19 @@ def chunk_id(session: Column, index: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", session, index.cast("string")), 256), 1, 16)
 
 
+def header() -> Column:
+    """What a session's first chunk begins with."""
+    branch = F.when(F.coalesce("git_branch", F.lit("")) != "", F.concat(F.lit(" | Branch: "), F.col("git_branch"))).otherwise("")
+    return F.concat(F.lit("["), F.col("source"), F.lit("] Project: "), F.col("project"), branch, F.lit(" | "), F.col("started_at"), F.lit("\n\n"))
+
+
 def chunks(exchanges: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
-    """One shuffle by session; a session is folded where its turns are gathered."""
+    """One shuffle by session; a session is folded where its turns are gathered. For sessions too long for that: `ranges.chunks`."""
     rows = exchange_rows(exchanges)
     turn = F.struct("n", "text", "tokens", "timestamp")
     by = rows.groupBy(*SESSION).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     pieces = by.select(*SESSION, F.posexplode(_fold(F.col("turns"), F.col("started_at"), most)).alias("chunk_index", "c"))
-    branch = F.when(F.coalesce("git_branch", F.lit("")) != "", F.concat(F.lit(" | Branch: "), F.col("git_branch"))).otherwise("")
-    head = F.concat(F.lit("["), F.col("source"), F.lit("] Project: "), F.col("project"), branch, F.lit(" | "), F.col("started_at"), F.lit("\n\n"))
-    content = F.when(F.col("chunk_index") == 0, F.concat(head, F.col("c.content"))).otherwise(F.col("c.content"))
+    content = F.when(F.col("chunk_index") == 0, F.concat(header(), F.col("c.content"))).otherwise(F.col("c.content"))
     return pieces.select(
         chunk_id(F.col("session_id"), F.col("chunk_index")).alias("id"), "session_id", "source", "project", F.coalesce("git_branch", F.lit("")).alias("git_branch"),
         content.alias("content"), F.col("c.timestamp").alias("timestamp"), "chunk_index",

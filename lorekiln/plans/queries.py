@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions import patterns as P
 from lorekiln.functions import text as T
-from lorekiln.operators import index, ingest, lifecycle, mining, search, surfaces, tables, vectors
+from lorekiln.operators import index, ingest, lifecycle, mining, ranges, search, surfaces, tables, vectors
 from lorekiln.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,6 +170,11 @@ def chunk_conversations(spark, d):
     return ingest.chunks(V.exchanges(spark, d)).select("id", "session_id", "chunk_index", F.md5("content").alias("content"))
 
 
+@query(f"WITH RECURSIVE {_CHUNKED} SELECT id, session_id, chunk_index, timestamp, md5(content) AS content FROM made")
+def chunk_by_ranges(spark, d):
+    return ranges.chunks(V.exchanges(spark, d)).select("id", "session_id", "chunk_index", "timestamp", F.md5("content").alias("content"))
+
+
 @query(f"WITH RECURSIVE {_CHUNKED} SELECT id, timestamp FROM made")
 def chunk_timestamps(spark, d):
     return ingest.chunks(V.exchanges(spark, d)).select("id", "timestamp")
