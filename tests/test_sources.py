@@ -168,3 +168,40 @@ def test_unchanged_files_are_not_opened(spark, tmp_path):
         logs.lines(spark, str(tmp_path), "*.jsonl*").collect()
     assert [r.raw for r in logs.lines(spark, str(tmp_path), "*.jsonl*", since=1e9).collect()] == ["one", "two"]
     assert [r.raw for r in logs.lines(spark, str(tmp_path), "*.jsonl*", without="old.").collect()] == ["one", "two"]
+
+
+def test_projects_of_chats_come_from_workspaces(spark, tmp_path):
+    """Workspaces beside the database tell the project; broken ones tell nothing; a chat that none knows keeps what it says itself."""
+
+    def database(path, table, rows):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        db = sqlite3.connect(path)
+        db.execute(f"CREATE TABLE {table} (key TEXT, value TEXT)")
+        db.executemany(f"INSERT INTO {table} VALUES (?, ?)", [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in rows])
+        db.commit()
+        db.close()
+
+    chat = lambda c: {"composerId": c, "createdAt": 1_700_000_000_000, "conversation": [{"type": 1, "text": "hi there, " * 10}], "context": {"uri": "/w/own"}}
+    for user in ("u1", "u2"):
+        database(tmp_path / user / "globalStorage" / "state.vscdb", "cursorDiskKV", [(f"composerData:{c}", chat(c)) for c in ("a", "b", "c")])
+    here = tmp_path / "u1" / "workspaceStorage"
+
+    def workspace(name, about, value):
+        (here / name).mkdir(parents=True)
+        (here / name / "workspace.json").write_text(about)
+        database(here / name / "state.vscdb", "ItemTable", [("composer.composerData", value)])
+
+    workspace("w1", '{"folder": "file:///home/me/alpha"}', {"allComposers": [{"composerId": "a"}, {"composerId": ""}, {"composerId": 5}, "x"]})
+    workspace("w2", '{"folder": "file:///home/me/beta/"}', {"allComposers": [{"composerId": "a"}]})
+    workspace("w3", "{bad", {"allComposers": [{"composerId": "b"}]})
+    workspace("w4", '{"folder": "/x/gamma"}', "{bad")
+    workspace("w5", '["no object"]', {"allComposers": [{"composerId": "b"}]})
+    workspace("w6", '{"workspace": "many"}', {"allComposers": [{"composerId": "b"}]})
+    (here / "w7").mkdir()
+    (here / "file").write_text("x")
+    out = {(r.project, r.session_id) for r in keyvalue.composer_sessions(spark, str(tmp_path / "u1")).collect()}
+    assert out == {("beta", "a"), ("own", "b"), ("own", "c")}
+    # what one user's workspaces say isn't said of another's chats
+    out = sorted((r.project, r.session_id) for r in keyvalue.composer_sessions(spark, str(tmp_path)).collect())
+    assert out == [("beta", "a"), ("own", "a"), ("own", "b"), ("own", "b"), ("own", "c"), ("own", "c")]
+    assert keyvalue.composer_sessions(spark, str(tmp_path / "u2")).where("project = 'own'").count() == 3
