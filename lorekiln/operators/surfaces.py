@@ -89,6 +89,22 @@ def file_context(rows: DataFrame, path: str, session: str, vector: list[float],
     return search.context(rows, _last(path), vector, session, min_relevance=0.30, index=index)
 
 
+def file_block(rows: DataFrame, path: str, cwd: str, vector: list[float], index: str | None = None) -> DataFrame:
+    """path, block: what was said about a file, as it is put before a caller; three hits of the folder's project at most. Without a path or a hit there is no row.
+
+    How often a path is answered is `streaming.requests`' affair.
+    """
+    if not path:
+        return rows.select(F.lit("").alias("path"), F.lit("").alias("block")).where(F.lit(False))
+    hits = search.hybrid(rows, _last(path) or path, vector, 5, min_relevance=0.30, index=index, project=_last(cwd) or None)
+    hits = hits.orderBy(F.desc("score"), "id").limit(3)
+    head = F.concat(F.lit("- ["), F.coalesce("project", F.lit("?")), F.lit(" · "), F.coalesce("source", F.lit("?")), F.lit(" · "), F.substring(F.coalesce("timestamp", F.lit("")), 1, 10), F.lit("] "))
+    line = F.struct((-F.col("score")).alias("s"), "id", F.concat(head, T.snippet(F.coalesce("content", F.lit("")), 200)).alias("line"))
+    one = hits.agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines")).where(F.size("lines") > 0)
+    title = F.concat(F.lit("## Past discussion of `"), F.lit(path), F.lit("`"))
+    return one.select(F.lit(path).alias("path"), F.array_join(F.concat(F.array(title), F.col("lines"), F.array(F.lit("_Search for what looks relevant to read it whole._"))), "\n").alias("block"))
+
+
 def _last(path: str) -> str:
     return path.rstrip("/").rpartition("/")[2]
 

@@ -506,6 +506,13 @@ def file_context(spark, d):
     return surfaces.file_context(_vectored(spark, d), "/src/the and", "s1", _vector(spark, d), V.index(spark, d, vectored=True))
 
 
+@query(f"""WITH {_hybrid(5, 0.3, chr(39) + 'en' + chr(39) + ' = project')}, s AS (SELECT *, {_SNIP} AS t FROM fused JOIN chunks USING (id) ORDER BY score DESC, id LIMIT 3)
+SELECT '/src/the and' AS path, '## Past discussion of `/src/the and`' || chr(10) || string_agg('- [' || project || ' · ' || source || ' · ' || substr(timestamp, 1, 10) || '] ' || CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '…' ELSE t END, chr(10) ORDER BY score DESC, id)
+  || chr(10) || '_Search for what looks relevant to read it whole._' AS block FROM s HAVING count(*) > 0""")
+def file_block(spark, d):
+    return surfaces.file_block(_vectored(spark, d), "/src/the and", "/home/me/en", _vector(spark, d), V.index(spark, d, vectored=True))
+
+
 _AT_START = "recent work on de"
 
 
@@ -825,6 +832,20 @@ def throttle_events(spark, d):
     return throttled(V.table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3600).select("event_id")
 
 
+# with five paths the bound on an owner's state is never met, nor does forgetting tell: tests hold both against a loop
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE value >= 5),
+w AS (SELECT user_id, event_type, event_id, t AS last, k, true AS passed FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_type, e.event_id, CASE WHEN e.t - w.last >= 86400000000 THEN e.t ELSE w.last END, e.k, e.t - w.last >= 86400000000 FROM w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.event_type = w.event_type AND e.k = w.k + 1)
+SELECT user_id AS owner, event_id AS request, event_type AS path FROM w WHERE passed AND event_type <> ''"""
+)
+def file_requests(spark, d):
+    from lorekiln.streaming.requests import answered
+
+    asked = V.table(spark, d, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("request"), F.col("event_type").alias("path"), F.col("ts").alias("at"), F.when(F.col("value") >= 5, "").alias("block"))
+    return answered(asked, seconds=86400).select("owner", "request", "path")
+
+
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
 def log_prune(spark, d):
     return lifecycle.recent(V.table(spark, d, "events"), 1000, F.desc("ts"), F.desc("event_id")).select("event_id")
