@@ -53,8 +53,11 @@ def throttled(rows: DataFrame, key: str, time: str, order: str, seconds: float)
     return timed.repartition(key).sortWithinPartitions(key, time, order).mapInPandas(each, rows.schema)
 
 
-def throttle_stream(stream: DataFrame, key: str, time: str, seconds: float, forget: float = 4.0) -> DataFrame:
-    """key, passed (ISO times); a key's state is dropped after `forget` times the interval without rows."""
+def throttle_stream(stream: DataFrame, key: str, time: str, seconds: float, forget: float = 4.0, late: str = "10 minutes") -> DataFrame:
+    """key, passed; a key's state is dropped `forget` times the interval after its last row, by the watermark. Rows that are later than `late` don't pass.
+
+    A timeout of processing time would ask for one batch after another, so that a run over what is there never ended.
+    """
 
     def step(k, batches, state):
         if state.hasTimedOut:
@@ -67,9 +70,9 @@ def throttle_stream(stream: DataFrame, key: str, time: str, seconds: float, forg
                 last = t
                 out.append(t)
         state.update((last,))
-        state.setTimeoutDuration(max(1, int(seconds * forget * 1000)))
+        state.setTimeoutTimestamp(times[-1] // 1000 + max(1, int(seconds * forget * 1000)))
         yield pd.DataFrame({key: [k[0]] * len(out), "passed": pd.to_datetime(pd.Series(out, dtype="int64"), unit="us")})
 
     kind = stream.schema[key].dataType.simpleString()
-    timed = stream.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_us"))
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, passed timestamp", "last bigint", "append", "ProcessingTimeTimeout")
+    timed = stream.select(key, F.col(time).cast("timestamp").alias("_at")).where("_at IS NOT NULL").withWatermark("_at", late).withColumn("_us", F.unix_micros("_at"))
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, passed timestamp", "last bigint", "append", "EventTimeTimeout")

@@ -57,11 +57,12 @@ def answered(requests: DataFrame, seconds: float = SECONDS, most: int = MOST, fo
     return rows.repartition("_owner").sortWithinPartitions("_owner", "_us", "request").mapInPandas(each, requests.schema)
 
 
-def answered_stream(requests: DataFrame, seconds: float = SECONDS, most: int = MOST, forget: float = FORGET) -> DataFrame:
+def answered_stream(requests: DataFrame, seconds: float = SECONDS, most: int = MOST, forget: float = FORGET, late: str = "10 minutes") -> DataFrame:
     """owner, request, path, at, block of the requests of a stream that are answered.
 
     State is committed with its batch, after the sink took the batch: one that fails is run again from the state before it, so that what wasn't
-    delivered isn't held back. An owner without a request for `forget` intervals of processing time has no state.
+    delivered isn't held back. Requests that come later than `late` after others aren't answered; an owner's state goes when all its paths are
+    forgotten before the time that is still waited for. That is event time: with timeouts of processing time a run over what is there wouldn't end.
     """
 
     def step(key, batches, state):
@@ -72,10 +73,10 @@ def answered_stream(requests: DataFrame, seconds: float = SECONDS, most: int = M
         rows = pd.concat(list(batches)).sort_values(["_us", "request"], kind="stable")
         good = [told.answers(p, t) for p, t in zip(rows["path"].tolist(), rows["_us"].tolist(), strict=True)]
         state.update((list(told.told), list(told.told.values())))
-        state.setTimeoutDuration(max(1, int(seconds * forget * 1000)))
+        state.setTimeoutTimestamp(int(rows["_us"].max()) // 1000 + max(1, int(seconds * forget * 1000)))
         yield rows.loc[good, names]
 
-    requests = requests.select("owner", "request", "path", "at", "block")
+    requests = requests.select("owner", "request", "path", F.col("at").cast("timestamp").alias("at"), "block")
     names = requests.columns
-    timed = _timed(requests).withColumn("_owner", F.to_json(F.struct("owner")))
-    return timed.groupBy("_owner").applyInPandasWithState(step, requests.schema, "paths array<string>, times array<bigint>", "append", "ProcessingTimeTimeout")
+    timed = _timed(requests).withColumn("_owner", F.to_json(F.struct("owner"))).withWatermark("at", late)
+    return timed.groupBy("_owner").applyInPandasWithState(step, requests.schema, "paths array<string>, times array<bigint>", "append", "EventTimeTimeout")

@@ -26,7 +26,7 @@ def test_throttle_in_batch_and_stream(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = jobs.throttle_stream(jobs.new_files(spark, str(tmp_path / "in"), df.schema), "user_id", "ts", 1800)
     q = stream.writeStream.format("memory").queryName("throttled").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert spark.table("throttled").count() == len(want)
 
 
