@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -183,3 +185,50 @@ def pruned_injections(spark: SparkSession, path: str, keep: int = LOG_LINES, lea
     size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
     rows = injections(spark, path)
     return recent(rows, keep, F.desc("timestamp"), F.col("session_id"), F.col("prompt")) if size >= least else rows
+
+
+def prune_injections(spark: SparkSession, path: str, keep: int = LOG_LINES, least: int = LOG_BYTES) -> int:
+    """Replaces a log that takes `least` bytes by its newest lines; how many went, those that couldn't be read included.
+
+    Only files that are there at the beginning are replaced, so lines that others append meanwhile stay. The newest lines are written
+    aside, a marker with the names of the replaced files is put down by a rename, and then these go and the new file comes in. A job that dies before
+    the marker leaves the log as it is; of one that dies after it the next prune does the rest.
+    """
+    _finish_prune(spark, path)
+    store, at = ingest._store(spark, path)
+    if not store.exists(at) or store.getContentSummary(at).getLength() < least:
+        return 0
+    names = sorted(n for f in store.listStatus(at) if f.isFile() and not (n := f.getPath().getName()).startswith(("_", ".")))
+    if not names:
+        return 0
+    files, tag = [f"{path}/{n}" for n in names], uuid.uuid4().hex
+    had = spark.read.text(files).where(F.trim("value") != "").count()
+    rows = spark.read.schema(INJECTION).option("mode", "DROPMALFORMED").json(files)
+    newest = recent(rows, keep, F.desc("timestamp"), F.col("session_id"), F.col("prompt"))
+    newest.coalesce(1).write.json(f"{path}/.pruned-{tag}")
+    mark = ingest._store(spark, f"{path}/.mark-{tag}")[1]
+    out = store.create(mark, True)
+    out.write(bytearray("\n".join(names), "utf-8"))
+    out.close()
+    kept = spark.read.text(f"{path}/.pruned-{tag}/part-*").count()
+    if not store.rename(mark, ingest._store(spark, f"{path}/_pruned-{tag}")[1]):
+        raise OSError(f"the marker in {path} couldn't be put down")
+    _finish_prune(spark, path)
+    return had - kept
+
+
+def _finish_prune(spark: SparkSession, path: str) -> None:
+    """What a marker says is still to do; done twice it is as done once."""
+    store, at = ingest._store(spark, path)
+    for mark in store.globStatus(ingest._store(spark, f"{path}/_pruned-*")[1]) or []:
+        stream = store.open(mark.getPath())
+        names = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+        stream.close()
+        for name in names:
+            store.delete(ingest._store(spark, f"{path}/{name}")[1], False)
+        staged = ingest._store(spark, f"{path}/.pruned-{mark.getPath().getName().removeprefix('_pruned-')}")[1]
+        for f in store.globStatus(ingest._store(spark, f"{staged}/part-*")[1]) or []:
+            if not store.rename(f.getPath(), ingest._store(spark, f"{path}/{f.getPath().getName()}")[1]):
+                raise OSError(f"{f.getPath()} couldn't be moved")
+        store.delete(staged, True)
+        store.delete(mark.getPath(), False)
