@@ -8,12 +8,16 @@ timestamp, chunk_index.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lorekiln.functions import text as T
+from lorekiln.functions.patterns import SUMMARY_STOPWORDS
 
 MAX_TOKENS = 800
 SESSION = ("session_id", "source", "project", "git_branch", "started_at")
@@ -69,16 +73,33 @@ def chunks(exchanges: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     )
 
 
+_PIECES = 64
+
+
+def _most_frequent(n: int):
+    """Of each row's words w the n most frequent that aren't stop words, ties by first place; a row's words are counted where they are."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, _PIECES):
+                part = batch.slice(a, _PIECES)
+                counts = [Counter(x) for x in part.column("w").to_pylist()]
+                for c in counts:
+                    for w in SUMMARY_STOPWORDS:
+                        c.pop(w, None)
+                words = [[w for w, _ in c.most_common(n)] for c in counts]
+                yield pa.RecordBatch.from_arrays([*part.drop_columns(["w"]).columns, pa.array(words, pa.list_(pa.string()))], [*part.schema.names[:-1], "keywords"])
+
+    return top
+
+
 def keywords(texts: DataFrame, key: list[str], column: str, n: int) -> DataFrame:
     """key, keywords: the n most frequent words of each group's texts taken together; ties by first place. `n_order` orders them."""
-    from pyspark.sql import Window
-
     one = texts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n_order", column))).alias("t"))
     whole = F.array_join(F.transform("t", lambda x: x[column]), " ")
-    found = one.select(*key, F.posexplode(T.keyword_tokens(whole)).alias("p", "w"))
-    counted = found.groupBy(*key, "w").agg(F.count("*").alias("c"), F.min("p").alias("p"))
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("c"), "p"))).where(F.col("r") <= n)
-    return ranked.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("keywords"))
+    words = one.select(*key, T.latin_words(whole).alias("w"))
+    schema = StructType([*words.schema.fields[:-1], StructField("keywords", ArrayType(StringType()))])
+    return words.mapInArrow(_most_frequent(n), schema).where(F.size("keywords") > 0)
 
 
 def summaries(exchanges: DataFrame) -> DataFrame:
