@@ -99,7 +99,7 @@ def _level(tf: Column, dl: Column, mean: float) -> Column:
     return F.floor(LEVELS * tf / (tf + search.K1 * (1 - search.B + search.B * dl / F.lit(mean or 1.0)))).cast("int")
 
 
-_POSTED = f"segment string, id string, {_TOLD}, dl int, term string, tf long, positions array<int>"
+_POSTED = f"id string, {_TOLD}, dl int, term string, positions array<int>"
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,30 +115,40 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 term += at.keys()
                 places += at.values()
             told = part.drop_columns(["t"]).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*told.columns, pa.array(term, pa.string()), pa.array([len(x) for x in places], pa.int64()), pa.array(places, pa.list_(pa.int32()))], [x.split()[0] for x in _POSTED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*told.columns, pa.array(term, pa.string()), pa.array(places, pa.list_(pa.int32()))], [x.split()[0] for x in _POSTED.split(", ")])
+
+
+def _write_postings(found: DataFrame, path: str, name: str, mean: float) -> None:
+    """A segment's postings and its dictionary. What all postings of a segment have, and what follows from their positions, isn't shuffled with them."""
+    spark, order = found.sparkSession, ["term", F.desc("level"), "id"]
+    tf = F.size("positions").cast("long")
+    found = found.withColumn("level", _level(tf, F.col("dl"), mean)).repartitionByRange(*order).sortWithinPartitions(*order)
+    found.withColumns({"segment": F.lit(name), "tf": tf}).select(*[x.split()[0] for x in POSTINGS.split(", ")]).write.parquet(f"{path}/{name}/postings")
+    counted = spark.read.schema(POSTINGS).parquet(f"{path}/{name}/postings").groupBy("term", "level").agg(F.count(F.lit(1)).alias("postings"))
+    counted.sortWithinPartitions("term").write.parquet(f"{path}/{name}/terms")
 
 
 def _segment(rows: DataFrame, path: str) -> dict:
     """Writes a segment of rows (id, content and the columns of TOLD that they have); what the manifest says of it."""
-    spark, name = rows.sparkSession, f"segment-{uuid.uuid4().hex}"
+    name = f"segment-{uuid.uuid4().hex}"
     told = [(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in TOLD]
     terms = tables.kept(rows.select(F.lit(name).alias("segment"), F.col("id").cast("string").alias("id"), *told, search.T.terms(F.coalesce("content", F.lit(""))).alias("t")).withColumn("dl", F.size("t")), "terms")
     terms.drop("t").write.parquet(f"{path}/{name}/rows")
     n, length = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     mean = length / n if n else 1.0
-    found = terms.select("segment", "id", *TOLD, "dl", "t").mapInArrow(_posted, _POSTED)
-    found = found.withColumn("level", _level(F.col("tf"), F.col("dl"), mean)).select(*[x.split()[0] for x in POSTINGS.split(", ")])
-    order = ["term", F.desc("level"), "id"]
-    found.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/{name}/postings")
-    counted = spark.read.schema(POSTINGS).parquet(f"{path}/{name}/postings").groupBy("term", "level").agg(F.count(F.lit(1)).alias("postings"))
-    counted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{name}/terms")
+    _write_postings(terms.select("id", *TOLD, "dl", "t").mapInArrow(_posted, _POSTED), path, name, mean)
     return {"name": name, "rows": n, "length": int(length), "mean": mean}
 
 
 def _first(rows: DataFrame) -> DataFrame:
-    """One row for each id that isn't null: of several that whose content comes first."""
-    rank = F.row_number().over(Window.partitionBy(F.col("id").cast("string")).orderBy("content"))
-    return rows.where("id IS NOT NULL").withColumn("_first", rank).where("_first = 1").drop("_first")
+    """One row for each id that isn't null: of several that whose content comes first. Only texts of ids that are there more than once are moved for that."""
+    rows = rows.where("id IS NOT NULL").withColumn("_id", F.col("id").cast("string"))
+    twice = tables.kept(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_id"), "repeated-ids")
+    if twice.isEmpty():
+        return rows.drop("_id")
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy("content"))
+    some = rows.join(twice, "_id", "left_semi").withColumn("_first", rank).where("_first = 1").drop("_first")
+    return rows.join(twice, "_id", "left_anti").unionByName(some).drop("_id")
 
 
 def write(rows: DataFrame, path: str) -> int:
@@ -155,12 +165,12 @@ def write(rows: DataFrame, path: str) -> int:
 def append(rows: DataFrame, path: str) -> int:
     """Adds the rows whose ids the index doesn't have; how many. Of two writers the first keeps an id."""
     spark = rows.sparkSession
-    log, rows = Log(spark, path), tables.kept(_first(rows), "appended")
+    log, given = Log(spark, path), rows.where("id IS NOT NULL").select(F.col("id").cast("string").alias("_new"))
     while True:
-        new = rows.join(log.alive(log.table("rows", ROWS)).select(F.col("id").alias("_known")), F.col("id").cast("string") == F.col("_known"), "left_anti")
-        made = _segment(new, path)
-        if not made["rows"]:
+        new = tables.kept(given.distinct().join(log.alive(log.table("rows", ROWS)).select(F.col("id").alias("_new")).hint("merge"), "_new", "left_anti"), "new-ids")
+        if new.isEmpty():
             return 0
+        made = _segment(_first(rows.join(new, F.col("id").cast("string") == F.col("_new"), "left_semi")), path)
         seen = {s["name"] for s in log.segments}
         while True:
             try:
@@ -213,11 +223,7 @@ def merge(spark: SparkSession, path: str, fan: int = FAN, everything: bool = Fal
     rows.write.parquet(f"{path}/{name}/rows")
     n, length = spark.read.schema(ROWS).parquet(f"{path}/{name}/rows").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     mean = length / n if n else 1.0
-    found = log.alive(log.table("postings", POSTINGS, names)).withColumn("segment", F.lit(name)).withColumn("level", _level(F.col("tf"), F.col("dl"), mean))
-    order = ["term", F.desc("level"), "id"]
-    found.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/{name}/postings")
-    counted = spark.read.schema(POSTINGS).parquet(f"{path}/{name}/postings").groupBy("term", "level").agg(F.count(F.lit(1)).alias("postings"))
-    counted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{name}/terms")
+    _write_postings(log.alive(log.table("postings", POSTINGS, names)).drop("segment", "level", "tf"), path, name, mean)
     keep = [s for s in log.segments if s["name"] not in names]
     dead = log.table("dead", DEAD).where(~F.col("segment").isin(names))
     left = []

@@ -106,3 +106,15 @@ def test_odd_rows(spark, tmp_path):
     assert index.write(spark.createDataFrame([], KIND), path) == 0 and index.keyword(spark, path, "the").count() == 0
     assert index.append(spark.createDataFrame([("g", "the")], "id string, content string"), path) == 1
     assert [r.id for r in index.keyword(spark, path, "the").collect()] == ["g"] and index.keyword(spark, path, "the", project="a").count() == 0
+
+
+def test_texts_stay_and_constants_are_not_shuffled(spark, tmp_path, monkeypatch):
+    seen, write = [], index._write_postings
+    monkeypatch.setattr(index, "_write_postings", lambda found, *more: seen.append(found.columns) or write(found, *more))
+    path, rows = str(tmp_path / "index"), _rows(8, 40)
+    df = spark.createDataFrame(rows, KIND)
+    assert "Window" not in index._first(df)._jdf.queryExecution().optimizedPlan().toString()
+    index.write(df.where("id < 'k020'"), path)
+    assert index.append(df, path) == 20 and index.append(df, path) == 0 and index.merge(spark, path, everything=True) == 2
+    assert len(seen) == 3 and not any({"segment", "tf"} & set(x) for x in seen)
+    _found(spark, rows, path, "the and", project="a")
