@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions import text as T
+from lorekiln.operators import tables
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -115,7 +116,9 @@ def hybrid(rows: DataFrame, query: str, vector: list[float], k: int = 5, weight:
     both = near.join(said, "id", "full_outer").fillna(0.0, ["sem_score", "kw_score"])
     both = both.withColumn("score", weight * F.col("sem_score") + (1 - weight) * F.col("kw_score"))
     top = both.orderBy(F.desc("score"), F.asc_nulls_last("sem_rank"), F.asc_nulls_last("kw_rank")).limit(k)
-    return rows.join(F.broadcast(top), "id")  # k rows
+    top = tables.kept(top, "hits")
+    # told by id, so that rows which are a join are looked for below it, before their texts move
+    return rows.where(F.col("id").isin([r.id for r in top.select("id").collect()])).join(F.broadcast(top), "id")  # k rows
 
 
 def age_days(timestamp: Column, now: str) -> Column:
