@@ -11,4 +11,4 @@ def test_hits_are_sought_below_the_join(spark, tmp_path):
     found = sorted(r.id for r in out.collect())
     assert len(found) == 3 and out.columns[:3] == ["id", "content", "project"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert plan[plan.rindex("Join Inner") :].count(" IN (") == 2  # on either side of the rows' own join
+    assert plan[plan.rindex("Join Inner") :].count(" IN (") == 3  # on either side of the rows' own join, and on the hits
