@@ -1,15 +1,17 @@
 """The inverted index as a store of immutable segments: appends, deletes, merges, and searches over one snapshot.
 
-An append writes a segment: postings in ranges of (term, falling level, id), a dictionary of its terms, and its rows without their texts. A posting holds the row's length and the columns that
-filters look at, so a search reads the postings of its terms and nothing else. A delete writes tombstones, (segment, id); what they take from the corpus figures is written with them, so
-rows and mean length are sums over the manifest. A merge makes one segment of several of a size, without the rows that tombstones name.
+An append writes a segment: its rows with their words, and postings. A task sorts the postings of its rows by (term, falling level, id) in runs of a bounded number
+of words, one behind the other; no posting is shuffled. Pages are small, and those of a run that hold none of a search's terms are left out by their bounds. A posting holds the row's length and
+the columns that filters look at, so a search reads the postings of its terms and nothing else. A delete writes tombstones, (segment, id); what they take from the corpus figures is written with
+them, so rows and mean length are sums over the manifest. A merge makes one segment of several of a size, without the rows that tombstones name: it drops those among the rows, whose words it
+has, and makes the postings of what is left in full runs, so neither texts nor postings are read for it.
 
 The manifest is a log of numbered files, each of which names a whole state; the highest number is the present. A change is put under the next number by a rename that
 fails if another writer was there first, and is then worked out again from the new state. What a killed job leaves isn't named by the log; `sweep` removes it. (The rename
 decides among writers where the store has an atomic one, as HDFS and local disks do.)
 
-The level of a posting is its part of BM25 that doesn't rest on the corpus, in steps. The dictionary counts a term's postings by level, so for a query of one word a search knows before it reads
-which levels can't hold one of the best k, and leaves them unread. What a search finds equals `search.keyword` over the surviving rows.
+The level of a posting is its part of BM25 that doesn't rest on the corpus, in steps. A search counts its terms' postings by level first, for which it reads those two columns alone; so for a
+query of one word it knows which levels can't hold one of the best k, and leaves the rest of them unread. What a search finds equals `search.keyword` over the surviving rows.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ import json
 import math
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +32,19 @@ from lorekiln.operators import search, tables
 
 FILTERS = ("project", "source", "git_branch")
 TOLD = ("session_id", *FILTERS)
-_TOLD = ", ".join(f"{c} string" for c in TOLD)
-ROWS = f"segment string, id string, {_TOLD}, dl int"
-POSTINGS = f"segment string, term string, level int, id string, {_TOLD}, dl int, tf long, positions array<int>"
-TERMS = "term string, level int, postings long"
+_FILTERS = ", ".join(f"{c} string" for c in FILTERS)
+ROWS = f"segment string, id string, session_id string, {_FILTERS}, dl int"
+WORDS = f"{ROWS}, words string"
+POSTINGS = f"term string, level int, id string, {_FILTERS}, dl int, tf long, positions array<int>"
 DEAD = "segment string, id string, dl int"
 #: Steps of a posting's level between 0 and the most that a term can add.
 LEVELS = 32
 #: Segments of a size that a merge makes one of.
 FAN = 8
+#: Words of a run, whose postings a task sorts at once; a row is in one run whatever its length.
+RUN = 1 << 21
+#: Postings of a page at most, the least that a search reads of a run.
+PAGE = 4096
 
 
 class Conflict(Exception):
@@ -89,55 +98,91 @@ class Log:
         paths = [f"{self.path}/{s['name']}/{kind}" for s in (self.dead if kind == "dead" else self.segments) if names is None or s["name"] in names]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def postings(self, terms: list[str]) -> DataFrame:
+        """These terms' postings, dead ones too, with the segment, which their folder says."""
+        found = self.table("postings", POSTINGS).where(F.col("term").isin(terms))
+        return found.withColumn("segment", F.element_at(F.split("_metadata.file_path", "/"), -3) if self.segments else F.lit(None).cast("string"))
+
     def alive(self, found: DataFrame) -> DataFrame:
         """Without what tombstones name."""
         return found.join(self.table("dead", DEAD).select("segment", "id"), ["segment", "id"], "left_anti") if self.dead else found
 
 
-def _level(tf: Column, dl: Column, mean: float) -> Column:
-    """The gain without its idf, in LEVELS steps up to K1 + 1, its limit."""
-    return F.floor(LEVELS * tf / (tf + search.K1 * (1 - search.B + search.B * dl / F.lit(mean or 1.0)))).cast("int")
-
-
-_POSTED = f"id string, {_TOLD}, dl int, term string, positions array<int>"
-
-
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of rows from their terms (t), each row by itself: nothing is shuffled to gather positions."""
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+
+def _run(held: list[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
+    """The postings of rows, by (term, falling level, id)."""
+    rows = pa.Table.from_batches(held).sort_by("id").combine_chunks().to_batches()[0]
+    dl = rows["dl"].to_numpy().astype(np.int64)
+    words = pc.split_pattern(rows["words"], " ").flatten().dictionary_encode()
+    n, terms = len(words), words.dictionary
+    rank = np.empty(len(terms), np.int64)
+    rank[pc.sort_indices(terms).to_numpy()] = np.arange(len(terms))
+    bits = n.bit_length()
+    # a word's number among the run's words says its row and its place
+    key = np.sort(rank[words.indices.to_numpy()] << bits | np.arange(n))
+    at, word = key & ((1 << bits) - 1), key >> bits
+    row = np.repeat(np.arange(len(dl)), dl)[at]
+    places = at - (np.cumsum(dl) - dl)[row]
+    first = _changes(word, row)
+    tf, word, row = np.diff(first, append=n), word[first], row[first]
+    # the gain without its idf, in LEVELS steps up to K1 + 1, its limit
+    level = np.floor(LEVELS * tf / (tf + search.K1 * (1 - search.B + search.B * dl[row] / (mean or 1.0)))).astype(np.int64)
+    order = np.sort((word * (LEVELS + 1) + LEVELS - level) << bits | np.arange(len(first))) & ((1 << bits) - 1)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, n), pa.int32()), pa.array(places, pa.int32()))
+    names, terms = [x.split()[0] for x in POSTINGS.split(", ")], terms.take(pc.sort_indices(terms))
+    for a in range(0, len(order), 1 << 16):
+        some = order[a : a + (1 << 16)]
+        told = rows.select(["id", *FILTERS, "dl"]).take(pa.array(row[some]))
+        made = dict(zip(told.schema.names, told.columns)) | {"term": terms.take(pa.array(word[some])), "level": pa.array(level[some], pa.int32()), "tf": pa.array(tf[some], pa.int64()), "positions": positions.take(pa.array(some))}
+        yield pa.RecordBatch.from_arrays([made[x] for x in names], names)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
+    """The postings of a task's rows, run by run."""
+    held, n = [], 0
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part, row, term, places = batch.slice(a, 256), [], [], []
-            for k, words in enumerate(part.column("t").to_pylist()):
-                at: dict[str, list[int]] = {}
-                for i, w in enumerate(words):
-                    at.setdefault(w, []).append(i)
-                row += [k] * len(at)
-                term += at.keys()
-                places += at.values()
-            told = part.drop_columns(["t"]).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*told.columns, pa.array(term, pa.string()), pa.array(places, pa.list_(pa.int32()))], [x.split()[0] for x in _POSTED.split(", ")])
+        batch = batch.filter(pc.greater(batch["dl"], 0))
+        ends, a = np.cumsum(batch["dl"].to_numpy(), dtype=np.int64), 0
+        while a < batch.num_rows:
+            before = ends[a - 1] if a else 0
+            b = min(int(np.searchsorted(ends, before + RUN - n)) + 1, batch.num_rows)  # with the row that fills the run
+            held.append(batch.slice(a, b - a))
+            a, n = b, n + int(ends[b - 1] - before)
+            if n >= RUN:
+                yield from _run(held, mean)
+                held, n = [], 0
+    if held:
+        yield from _run(held, mean)
 
 
 def _write_postings(found: DataFrame, path: str, name: str, mean: float) -> None:
-    """A segment's postings and its dictionary. What all postings of a segment have, and what follows from their positions, isn't shuffled with them."""
-    spark, order = found.sparkSession, ["term", F.desc("level"), "id"]
-    tf = F.size("positions").cast("long")
-    found = found.withColumn("level", _level(tf, F.col("dl"), mean)).repartitionByRange(*order).sortWithinPartitions(*order)
-    found.withColumns({"segment": F.lit(name), "tf": tf}).select(*[x.split()[0] for x in POSTINGS.split(", ")]).write.parquet(f"{path}/{name}/postings")
-    counted = spark.read.schema(POSTINGS).parquet(f"{path}/{name}/postings").groupBy("term", "level").agg(F.count(F.lit(1)).alias("postings"))
-    counted.sortWithinPartitions("term").write.parquet(f"{path}/{name}/terms")
+    """A segment's postings, from its rows with their words. Few small files are dealt over all cores, since a file may be one task's."""
+    cores = found.sparkSession.sparkContext.defaultParallelism
+    if len(found.inputFiles()) < cores and found.rdd.getNumPartitions() <= cores:
+        found = found.repartition(cores)
+    found.mapInArrow(partial(_runs, mean=mean), POSTINGS).write.option("parquet.page.row.count.limit", PAGE).parquet(f"{path}/{name}/postings")
+
+
+def _from_words(spark: SparkSession, path: str, name: str) -> dict:
+    """Completes a segment whose rows are there with their words; what the manifest says of it."""
+    rows = spark.read.schema(WORDS).parquet(f"{path}/{name}/rows")
+    n, length = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    mean = length / n if n else 1.0
+    _write_postings(rows.select("id", *FILTERS, "dl", "words"), path, name, mean)
+    return {"name": name, "rows": n, "length": int(length), "mean": mean}
 
 
 def _segment(rows: DataFrame, path: str) -> dict:
     """Writes a segment of rows (id, content and the columns of TOLD that they have); what the manifest says of it."""
     name = f"segment-{uuid.uuid4().hex}"
     told = [(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in TOLD]
-    terms = tables.kept(rows.select(F.lit(name).alias("segment"), F.col("id").cast("string").alias("id"), *told, search.T.terms(F.coalesce("content", F.lit(""))).alias("t")).withColumn("dl", F.size("t")), "terms")
-    terms.drop("t").write.parquet(f"{path}/{name}/rows")
-    n, length = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    mean = length / n if n else 1.0
-    _write_postings(terms.select("id", *TOLD, "dl", "t").mapInArrow(_posted, _POSTED), path, name, mean)
-    return {"name": name, "rows": n, "length": int(length), "mean": mean}
+    words = rows.select(F.lit(name).alias("segment"), F.col("id").cast("string").alias("id"), *told, search.T.terms(F.coalesce("content", F.lit(""))).alias("t"))
+    words.select("segment", "id", *TOLD, F.size("t").alias("dl"), F.array_join("t", " ").alias("words")).write.parquet(f"{path}/{name}/rows")
+    return _from_words(rows.sparkSession, path, name)
 
 
 def _first(rows: DataFrame) -> DataFrame:
@@ -219,11 +264,8 @@ def merge(spark: SparkSession, path: str, fan: int = FAN, everything: bool = Fal
         return 0
     names = [s["name"] for s in chosen]
     name = f"segment-{uuid.uuid4().hex}"
-    rows = log.alive(log.table("rows", ROWS, names)).withColumn("segment", F.lit(name))
-    rows.write.parquet(f"{path}/{name}/rows")
-    n, length = spark.read.schema(ROWS).parquet(f"{path}/{name}/rows").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    mean = length / n if n else 1.0
-    _write_postings(log.alive(log.table("postings", POSTINGS, names)).drop("segment", "level", "tf"), path, name, mean)
+    log.alive(log.table("rows", WORDS, names)).withColumn("segment", F.lit(name)).select(*[x.split()[0] for x in WORDS.split(", ")]).write.parquet(f"{path}/{name}/rows")
+    made = _from_words(spark, path, name)
     keep = [s for s in log.segments if s["name"] not in names]
     dead = log.table("dead", DEAD).where(~F.col("segment").isin(names))
     left = []
@@ -233,7 +275,7 @@ def merge(spark: SparkSession, path: str, fan: int = FAN, everything: bool = Fal
         rest = [gone[x] for x in gone if x not in names]
         left = [{"name": tomb, "rows": sum(x[0] for x in rest), "length": int(sum(x[1] for x in rest))}] if rest else []
     try:
-        log.commit([*keep, *([{"name": name, "rows": n, "length": int(length), "mean": mean}] if n else [])], left)
+        log.commit([*keep, *([made] if made["rows"] else [])], left)
     except Conflict:
         return 0  # a later merge will find more
     return len(names)
@@ -300,7 +342,7 @@ def _reading(log: Log, wanted: list[list[str]], k: int, filtered: bool) -> dict:
     terms = sorted({t for p in wanted for t in p})
     counts: dict[str, dict[int, int]] = {t: {} for t in terms}
     if terms:
-        for r in log.table("terms", TERMS).where(F.col("term").isin(terms)).groupBy("term", "level").agg(F.sum("postings").alias("n")).collect():  # LEVELS rows a term at most
+        for r in log.table("postings", POSTINGS).where(F.col("term").isin(terms)).groupBy("term", "level").agg(F.count(F.lit(1)).alias("n")).collect():  # LEVELS rows a term at most
             counts[r.term][r.level] = r.n
     least = 0
     if len(wanted) == len(terms) == 1 and not filtered and log.rows():
@@ -320,7 +362,7 @@ def keyword(spark: SparkSession, path: str, query: str, k: int = 10, **filters:
     if not all(plan["counts"].values()):
         return none  # a word that stands nowhere
     n, mean = log.rows(), log.length() / log.rows()
-    postings = log.alive(log.table("postings", POSTINGS).where(F.col("term").isin(sorted(plan["counts"]))))
+    postings = log.alive(log.postings(sorted(plan["counts"])))
     hits, score = None, F.lit(0.0)
     for j, phrase in enumerate(sorted(wanted, key=lambda p: min(plan["counts"][t] for t in p))):
         found = places(postings, phrase)

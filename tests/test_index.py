@@ -1,8 +1,10 @@
 """The segmented index: after any sequence of changes a search equals one over the surviving rows."""
 
 import random
+import shutil
 import threading
 
+import pyarrow as pa
 import pytest
 
 from lorekiln.operators import index, search
@@ -118,3 +120,40 @@ def test_texts_stay_and_constants_are_not_shuffled(spark, tmp_path, monkeypatch)
     assert index.append(df, path) == 20 and index.append(df, path) == 0 and index.merge(spark, path, everything=True) == 2
     assert len(seen) == 3 and not any({"segment", "tf"} & set(x) for x in seen)
     _found(spark, rows, path, "the and", project="a")
+
+
+def test_runs_hold_all_postings_in_order(monkeypatch):
+    monkeypatch.setattr(index, "RUN", 100)
+    rows = [(r[0], r[2], r[3], r[4], len(r[5].split()), r[5]) for r in _rows(9, 60)] + [("long", "a", "x", "", 500, " ".join(WORDS[k * k % 11] for k in range(500)))]
+    random.Random(9).shuffle(rows)
+    names = ["id", *index.FILTERS, "dl", "words"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "dl" else pa.string()) for n, c in zip(names, zip(*rows[a : a + 13]))], names) for a in range(0, len(rows), 13)]
+    got = [r for b in index._runs(iter(batches), 20.0) for r in b.to_pylist()]
+    want = {(w, r[0]): [k for k, x in enumerate(r[5].split()) if x == w] for r in rows for w in set(r[5].split())}
+    assert len(got) == len(want) and {(p["term"], p["id"]): p["positions"] for p in got} == want
+    told = {r[0]: r for r in rows}
+    for p in got:
+        assert (p["id"], p["project"], p["source"], p["git_branch"], p["dl"]) == told[p["id"]][:5] and p["tf"] == len(p["positions"])
+        assert p["level"] == int(index.LEVELS * p["tf"] / (p["tf"] + search.K1 * (1 - search.B + search.B * p["dl"] / 20)))
+    keys = [(p["term"], -p["level"], p["id"]) for p in got]
+    ends = sum(a > b for a, b in zip(keys, keys[1:]))
+    assert 3 < ends < sum(r[4] for r in rows) / 100  # runs of 100 words and the row that fills them
+    assert list(index._runs(iter([batches[0].slice(0, 0)]), 20.0)) == []
+
+
+def test_postings_are_neither_shuffled_nor_read_by_a_merge(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "index"), _rows(10, 60)
+    df = spark.createDataFrame(rows, KIND).repartition(9)
+    written, write = [], index._write_postings
+    monkeypatch.setattr(index, "_write_postings", lambda found, *more: written.append(found) or write(found, *more))
+    index.write(df.where("id < 'k040'"), path)
+    index.append(df, path)
+    assert index.delete(spark, path, project="a") > 0
+    for s in index.Log(spark, path).segments:
+        shutil.rmtree(f"{path}/{s['name']}/postings")
+    assert index.merge(spark, path, everything=True) == 2
+    assert len(written) == 3 and not any("Exchange" in f.mapInArrow(index._runs, index.POSTINGS)._jdf.queryExecution().executedPlan().toString() for f in written)
+    left = [r for r in rows if r[2] != "a"]
+    for q in ("the", "and of", "the-and", "redis the"):
+        _found(spark, left, path, q)
+    _found(spark, left, path, "the and", source="y", git_branch="main")
